@@ -4,13 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import htmlextract, langid, media, mixing, simhash, toxicity
 from .common import table
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_simhash_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_media_columns, op8_html_extraction, op9_simhash_dedup, op10_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": mixing.SQL.format(docs="documents")}
