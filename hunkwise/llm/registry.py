@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmlextract, langid, media, mixing, simhash, toxicity
+from . import decontam, htmlextract, langid, linededup, media, mixing, simhash, toxicity
 from .common import table
 
 
@@ -20,6 +20,14 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlextract.extract(table(spark, sf_dir, "pages"))
 
@@ -32,5 +40,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_media_columns, op8_html_extraction, op9_simhash_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_media_columns, op4_line_dedup, op7_decontamination, op8_html_extraction, op9_simhash_dedup, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op1_source_mixing": mixing.SQL.format(docs="documents")}
