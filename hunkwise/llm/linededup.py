@@ -174,6 +174,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     x, y = both.where("index").alias("x"), both.alias("y")
     near = F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig"))) <= 2 * TAU
     once = ~F.col("y.index") | (F.col("x.a") < F.col("y.a"))
+    apart = F.col("x.sig").bitwiseXOR(F.col("y.sig"))
+    first_part = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, k) for k, m in enumerate(masks)])
+    once = once & ((F.col("x.n") <= HOT) | (F.col("x.part") == first_part))  # a pair that meets in several parts counts in the first
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "part", "bits")]
     pairs = x.join(y, same[0] & same[1] & same[2] & (F.col("x.a") != F.col("y.a")) & once & near)
     pairs = pairs.select(F.least("x.a", "y.a").alias("a1"), F.greatest("x.a", "y.a").alias("a2")).distinct()
