@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import min_labels, written
+from .common import min_labels, small_enough, written
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
 #: Members of a bucket up to which they are compared with each other.
 SMALL_BUCKET = 16
+BROADCAST_ROWS = 500_000
 _DIMS = RADIUS + 1
 
 
@@ -109,7 +110,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = written(components(docs, id_col, text_col).select("doc_id", "component_id"), "simhash-components")
     lost = found.where("doc_id is null or doc_id <> component_id").select(F.col("doc_id").alias("_lost"))
-    kept = docs.join(lost.where("_lost is not null").distinct(), docs[id_col].cast("long") == F.col("_lost"), "left_anti")
+    lost = written(lost.where("_lost is not null").distinct(), "simhash-lost")
+    lost = F.broadcast(lost) if small_enough(lost, BROADCAST_ROWS) else lost
+    kept = docs.join(lost, docs[id_col].cast("long") == F.col("_lost"), "left_anti")
     named, bare = kept.where(F.col(id_col).isNotNull()), kept.where(F.col(id_col).isNull())
     if not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
         named = named.dropDuplicates([id_col])
