@@ -48,27 +48,15 @@ def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
-def _round_number(key: str, kind: str, r: int, other: Column) -> Column:
-    return _number(F.sha2(F.concat(F.lit(f"{key}|{kind}|{r}|"), other.cast("string")), 256))
-
-
 def feistel(left: Column, right: Column, a: int, b: int, key: str, kind: str) -> Column:
     """A keyed permutation of the pairs (0 <= left < a, 0 <= right < b), as a struct."""
-    state = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
-
-    def rounds(r: int):  # noqa: ANN202
-        def body(s: Column) -> Column:
-            if r == ROUNDS:
-                return s
-            if r % 2:
-                made = F.struct(s["l"].alias("l"), ((s["r"] + _round_number(key, kind, r, s["l"])) % b).alias("r"))
-            else:
-                made = F.struct(((s["l"] + _round_number(key, kind, r, s["r"])) % a).alias("l"), s["r"].alias("r"))
-            return _let(made, rounds(r + 1))
+    kinds = "struct<l:bigint,r:bigint>"
 
-        return body
+    def step(s: Column, r: Column) -> Column:
+        by = _number(F.sha2(F.concat(F.lit(f"{key}|{kind}|"), r.cast("string"), F.lit("|"), F.when(r % 2 == 1, s["l"]).otherwise(s["r"]).cast("string")), 256))
+        return F.when(r % 2 == 1, F.struct(s["l"].alias("l"), ((s["r"] + by) % b).alias("r"))).otherwise(F.struct(((s["l"] + by) % a).alias("l"), s["r"].alias("r"))).cast(kinds)
 
-    return _let(state, rounds(0))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")).cast(kinds), step)
 
 
 def _shifted(part: Column, digest: Column, hexed: bool) -> Column:
@@ -89,22 +77,17 @@ def _shifted(part: Column, digest: Column, hexed: bool) -> Column:
 def class_feistel(s: Column, key: str, kind: str, hexed: bool = False) -> Column:
     """A keyed permutation of strings that keeps each character's class (or of lower-case hex strings)."""
 
-    def rounds(r: int):  # noqa: ANN202
-        def body(x: Column) -> Column:
-            if r == ROUNDS:
-                return F.concat(x["l"], x["r"])
-            other = x["l"] if r % 2 else x["r"]
-            digest = F.sha2(F.concat(F.lit(f"{key}|{kind}|{r}|"), other), 512)
-            if r % 2:
-                made = F.struct(x["l"].alias("l"), _shifted(x["r"], digest, hexed).alias("r"))
-            else:
-                made = F.struct(_shifted(x["l"], digest, hexed).alias("l"), x["r"].alias("r"))
-            return _let(made, rounds(r + 1))
+    kinds = "struct<l:string,r:string>"
 
-        return body
+    def step(x: Column, r: Column) -> Column:
+        odd = r % 2 == 1
+        digest = F.sha2(F.concat(F.lit(f"{key}|{kind}|"), r.cast("string"), F.lit("|"), F.when(odd, x["l"]).otherwise(x["r"])), 512)
+        part = _shifted(F.when(odd, x["r"]).otherwise(x["l"]), digest, hexed)
+        return F.struct(F.when(odd, x["l"]).otherwise(part).alias("l"), F.when(odd, part).otherwise(x["r"]).alias("r")).cast(kinds)
 
     half = F.floor(F.length(s) / 2).cast("int")
-    return _let(F.struct(F.substring(s, F.lit(1), half).alias("l"), F.substring(s, half + 1, F.length(s)).alias("r")), rounds(0))
+    first = F.struct(F.substring(s, F.lit(1), half).alias("l"), F.substring(s, half + 1, F.length(s)).alias("r")).cast(kinds)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), first, step, lambda x: F.concat(x["l"], x["r"]))
 
 
 def _digits(s: Column) -> Column:
@@ -196,7 +179,7 @@ def _date(m: Column, key: str) -> Column:
 
         def shown(y: Column) -> Column:
             year, month, day = F.date_format(y, "yyyy"), F.date_format(y, "MM"), F.date_format(y, "dd")
-            return F.when(x["f"] == "i", F.concat_ws("-", year, month, day)).when(x["f"] == "d", F.concat_ws(x["s"], day, month, year) if False else F.concat(day, x["s"], month, x["s"], year)).otherwise(F.concat(month, x["s"], day, x["s"], year))
+            return F.when(x["f"] == "i", F.concat_ws("-", year, month, day)).when(x["f"] == "d", F.concat(day, x["s"], month, x["s"], year)).otherwise(F.concat(month, x["s"], day, x["s"], year))
 
         return F.when(x["d"].isNull(), m).otherwise(_let(moved, shown))
 
@@ -245,8 +228,8 @@ def pseudonym(match: Column, key: str = DEFAULT_KEY) -> Column:
     """The pseudonym of one match of the patterns; the match itself where it isn't valid."""
     made = None
     for kind, pattern in KINDS:
-        hit = match.rlike(f"^(?:{pattern})$")
-        made = F.when(hit, _MAKERS[kind](match, key)) if made is None else made.when(hit, _MAKERS[kind](match, key))
+        hit, value = match.rlike(f"^(?:{pattern})$"), _MAKERS[kind](match, key)
+        made = F.when(hit, value) if made is None else made.when(hit, value)
     return made.otherwise(match)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmlextract, langid, linededup, media, mixing, simhash, toxicity
+from . import chat, decontam, htmlextract, langid, linededup, media, mixing, pii, simhash, toxicity
 from .common import table
 
 
@@ -24,6 +24,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,5 +48,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_language_id, op3_media_columns, op4_line_dedup, op7_decontamination, op8_html_extraction, op9_simhash_dedup, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mixing, op2_language_id, op3_media_columns, op4_line_dedup, op5_chat_formatting, op6_pii_pseudonyms,
+        op7_decontamination, op8_html_extraction, op9_simhash_dedup, op10_toxicity,
+    )
+}
 ORACLE_SQL: dict[str, str] = {"op1_source_mixing": mixing.SQL.format(docs="documents")}
