@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -28,7 +29,7 @@ def line_ratio(a: str, b: str) -> float:
     return (1.0 - (n - 2 * common_subsequence(a, b)) / n) * 100.0 / 100.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """``line_ratio`` over Arrow batches; each distinct pair of a batch is computed once."""
     known: dict[tuple[str, str], float] = {}

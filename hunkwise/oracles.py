@@ -43,7 +43,7 @@ CTES: dict[str, str] = {
         FROM (SELECT *, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS norm FROM change_lines)""",
     "switched": """SELECT diff_id, hunk_idx, CAST(kind <> lag(kind) OVER (PARTITION BY diff_id, hunk_idx ORDER BY seq) AS INT) AS s FROM filtered WHERE kept""",
     "switches": "SELECT diff_id, hunk_idx, coalesce(sum(s), 0) AS switches FROM switched GROUP BY ALL",
-    "counted": """SELECT diff_id, file_idx, hunk_idx, any_value(file_path) AS file_path, count_if(kept AND kind = 'added') AS a, count_if(kept AND kind = 'removed') AS r, count_if(kind = 'context') AS c
+    "counted": """SELECT diff_id, file_idx, hunk_idx, any_value(file_path) AS file_path, count(CASE WHEN kept AND kind = 'added' THEN 1 END) AS a, count(CASE WHEN kept AND kind = 'removed' THEN 1 END) AS r, count(CASE WHEN kind = 'context' THEN 1 END) AS c
         FROM filtered GROUP BY ALL""",
     "hunks": f"""SELECT h.*, a + r AS n, CASE WHEN a + r = 0 THEN 0e0 ELSE a / CAST(a + r AS DOUBLE) END AS balance_raw,
         CASE WHEN a + r < 4 THEN 0e0 ELSE switches / CAST(a + r - 1 AS DOUBLE) END AS inter_raw,
@@ -55,7 +55,7 @@ CTES: dict[str, str] = {
     "text_counts": "SELECT diff_id, hunk_idx, kind, norm, count(*) AS k FROM sided GROUP BY ALL",
     "ways": """SELECT x.diff_id, x.hunk_idx AS x, y.hunk_idx AS y, least(x.hunk_idx, y.hunk_idx) AS i, greatest(x.hunk_idx, y.hunk_idx) AS j, CAST(x.hunk_idx > y.hunk_idx AS BIGINT) AS dir, greatest(x.r, y.a) AS longest
         FROM counted x JOIN counted y ON x.diff_id = y.diff_id AND x.hunk_idx <> y.hunk_idx WHERE least(x.r, y.a) > 0 AND least(x.r, y.a) >= 0.3e0 * greatest(x.r, y.a)""",
-    "exact": """SELECT w.diff_id, w.x, w.y, i, j, dir, any_value(longest) AS longest, CAST(coalesce(sum(least(g.k, c.k)), 0) AS BIGINT) AS exact
+    "exact": """SELECT w.diff_id, w.x, w.y, i, j, dir, any_value(longest) AS longest, CAST(coalesce(sum(CASE WHEN c.k IS NOT NULL THEN least(g.k, c.k) END), 0) AS BIGINT) AS exact
         FROM ways w LEFT JOIN text_counts g ON g.diff_id = w.diff_id AND g.hunk_idx = w.x AND g.kind = 'removed'
         LEFT JOIN text_counts c ON c.diff_id = w.diff_id AND c.hunk_idx = w.y AND c.kind = 'added' AND c.norm = g.norm GROUP BY ALL""",
     "gone": """SELECT w.diff_id, w.x, w.y, s.pos, s.norm FROM ways w JOIN sided s ON s.diff_id = w.diff_id AND s.hunk_idx = w.x AND s.kind = 'removed'
@@ -79,12 +79,12 @@ CTES: dict[str, str] = {
     "ranked_pairs": "SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY similarity DESC, i, j) AS rk FROM pairs",
     "ends": """SELECT diff_id, rk, i, j, similarity, unnest([i, j]) AS node FROM ranked_pairs""",
     "hunk_rounds": """SELECT diff_id, rk, i, j, similarity, node, 0 AS round, false AS taken FROM ends
-        UNION ALL SELECT diff_id, rk, i, j, similarity, node, round + 1, both FROM (
+        UNION ALL SELECT diff_id, rk, i, j, similarity, node, round + 1, won FROM (
           SELECT *, bool_or(hit) OVER (PARTITION BY diff_id, rk) AS gone FROM (
-            SELECT *, bool_or(both) OVER (PARTITION BY diff_id, node) AS hit FROM (
-              SELECT *, bool_and(best) OVER (PARTITION BY diff_id, rk) AS both FROM (
+            SELECT *, bool_or(won) OVER (PARTITION BY diff_id, node) AS hit FROM (
+              SELECT *, bool_and(best) OVER (PARTITION BY diff_id, rk) AS won FROM (
                 SELECT *, rk = min(rk) OVER (PARTITION BY diff_id, node) AS best FROM hunk_rounds WHERE NOT taken))))
-        WHERE both OR NOT gone""",
+        WHERE won OR NOT gone""",
     "picked": "SELECT DISTINCT diff_id, i, j, similarity FROM hunk_rounds WHERE taken",
     "moved": f"""SELECT *, {_round("complexity_raw", 2)} AS complexity FROM (SELECT p.diff_id, p.i - (SELECT count(*) FROM picked q WHERE q.diff_id = p.diff_id AND q.j < p.i) AS move_id, p.i, p.j, similarity,
         CASE WHEN similarity >= 0.9e0 THEN 'pure' ELSE 'modified' END AS move_type, greatest(x.n, y.n) AS length,
@@ -93,11 +93,11 @@ CTES: dict[str, str] = {
     "in_moves": "SELECT diff_id, unnest([i, j]) AS hunk_idx, move_id, move_type FROM moved",
     "alone": f"""SELECT *, greatest(0e0, 1e0 - (CAST(n AS DOUBLE) / {C.max_hunk_lines}) * (1e0 + {C.weights.interleaving_weight}e0 * inter)) AS score FROM hunks h ANTI JOIN in_moves m USING (diff_id, hunk_idx)""",
     "files": f"""SELECT diff_id, file_idx, any_value(file_path) AS path, count(*) AS hunk_count, CAST(sum(n) AS BIGINT) AS lines_changed, greatest(0e0, 1e0 - CAST(sum(n) AS DOUBLE) / {C.max_diff_lines}) AS score FROM hunks GROUP BY ALL""",
-    "file_sums": f"""SELECT diff_id, count(*) AS files_changed, sum(lines_changed) AS total, count_if(lines_changed > 0) AS busy, count_if(score < {C.file_score_threshold} AND hunk_count > 1) AS bad_files FROM files GROUP BY ALL""",
+    "file_sums": f"""SELECT diff_id, count(*) AS files_changed, sum(lines_changed) AS total, count(CASE WHEN lines_changed > 0 THEN 1 END) AS busy, count(CASE WHEN score < {C.file_score_threshold} AND hunk_count > 1 THEN 1 END) AS bad_files FROM files GROUP BY ALL""",
     "entropy": """SELECT f.diff_id, -sum((lines_changed / CAST(total AS DOUBLE)) * log2(lines_changed / CAST(total AS DOUBLE)) ORDER BY file_idx) AS h FROM files f JOIN file_sums USING (diff_id) WHERE lines_changed > 0 GROUP BY ALL""",
-    "hunk_sums": f"""SELECT diff_id, sum(n) AS lines_changed, sum(a) AS added_lines, count_if(score < {C.hunk_score_threshold}) AS bad_hunks,
+    "hunk_sums": f"""SELECT diff_id, sum(n) AS lines_changed, sum(a) AS added_lines, count(CASE WHEN score < {C.hunk_score_threshold} THEN 1 END) AS bad_hunks,
         sum(inter * greatest(n, 1) ORDER BY hunk_idx) / sum(CAST(greatest(n, 1) AS DOUBLE)) AS mean_raw FROM alone GROUP BY ALL""",
-    "move_sums": f"SELECT diff_id, count_if(complexity < {C.hunk_score_threshold}) AS bad_moves FROM moved GROUP BY ALL",
+    "move_sums": f"SELECT diff_id, count(CASE WHEN complexity < {C.hunk_score_threshold} THEN 1 END) AS bad_moves FROM moved GROUP BY ALL",
     "summed": f"""SELECT diff_id, files_changed, CAST(coalesce(lines_changed, 0) AS BIGINT) AS lines_changed, CAST(coalesce(added_lines, 0) AS BIGINT) AS added_lines, coalesce(bad_hunks, 0) AS bad_hunks, coalesce(bad_moves, 0) AS bad_moves, bad_files,
         coalesce(mean_raw, 0e0) AS mean_raw, CASE WHEN files_changed <= 1 OR total = 0 OR busy < 2 THEN 0e0 ELSE h / log2(CAST(busy AS DOUBLE)) END AS scatter_raw
         FROM file_sums LEFT JOIN hunk_sums USING (diff_id) LEFT JOIN move_sums USING (diff_id) LEFT JOIN entropy USING (diff_id)""",
@@ -111,8 +111,8 @@ CTES: dict[str, str] = {
         UNION ALL SELECT diff_id, 1, 0, 4, '[WARNING] Diff has ' || bad_files || ' problematic files, exceeds limit of {C.max_problematic_files}' FROM overall WHERE bad_files > {C.max_problematic_files}
         UNION ALL SELECT diff_id, 1, 0, 5, '[ERROR] Diff touches ' || files_changed || ' files, exceeds limit of {C.max_files_changed}' FROM overall WHERE files_changed > {C.max_files_changed}
         UNION ALL SELECT diff_id, 1, 0, 6, '[ERROR] Diff has ' || added_lines || ' added lines, exceeds limit of {C.max_added_lines}' FROM overall WHERE added_lines > {C.max_added_lines}""",
-    "gated": f"""SELECT o.diff_id, {_round("any_value(o.score)", 2)} AS score, coalesce(bool_and(NOT starts_with(text, '[ERROR]')), true) AS passed, coalesce(string_agg(text, '|' ORDER BY section, subject, ord), '') AS violations
-        FROM overall o LEFT JOIN violated v USING (diff_id) GROUP BY o.diff_id""",
+    "gated": f"""SELECT diff_id, {_round("raw_score", 2)} AS score, passed, violations FROM (SELECT o.diff_id, any_value(o.score) AS raw_score, coalesce(bool_and(NOT starts_with(text, '[ERROR]')), true) AS passed, coalesce(string_agg(text, '|' ORDER BY section, subject, ord), '') AS violations
+        FROM overall o LEFT JOIN violated v USING (diff_id) GROUP BY o.diff_id)""",
     "advised": f"""SELECT diff_id, 0 AS section, hunk_idx AS subject, 4 AS ord, file_path AS location, 'hunk.change_balance' AS metric, balance AS value FROM alone WHERE score < {C.hunk_score_threshold}
         UNION ALL SELECT diff_id, 0, hunk_idx, 5, file_path, 'hunk.interleaving', inter FROM alone WHERE score < {C.hunk_score_threshold} AND inter_raw > 0
         UNION ALL SELECT diff_id, 1, i, 0, 'move:' || move_id, 'move.edit_complexity', complexity FROM moved WHERE complexity < {C.hunk_score_threshold}
@@ -130,16 +130,16 @@ FINAL: dict[str, str] = {
     "line_normalise": rf"SELECT doc_id, CAST(pos AS BIGINT) AS pos, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS norm FROM {_DOC_LINES} WHERE trim(regexp_replace(raw, '\s+', ' ', 'g')) <> ''",
     "file_extension": f"SELECT path, {_EXT.format(path='path')} AS ext FROM (SELECT DISTINCT file_path AS path FROM change_lines UNION ALL SELECT url FROM pages)",
     "prefix_lookup": f"SELECT file_path, array_to_string({_PREFIXES.format(ext=_EXT.format(path='file_path'))}, '|') AS prefixes FROM (SELECT DISTINCT file_path FROM change_lines)",
-    "prefix_filter": "SELECT diff_id, file_path, count_if(kept) AS kept, count_if(NOT kept) AS left_out FROM filtered GROUP BY ALL",
+    "prefix_filter": "SELECT diff_id, file_path, count(CASE WHEN kept THEN 1 END) AS kept, count(CASE WHEN NOT kept THEN 1 END) AS left_out FROM filtered GROUP BY ALL",
     "hunk_build": """SELECT diff_id, hunk_idx, any_value(file_path) AS file_path, coalesce(string_agg(norm, '|' ORDER BY seq) FILTER (kept AND kind = 'added'), '') AS added,
         coalesce(string_agg(norm, '|' ORDER BY seq) FILTER (kept AND kind = 'removed'), '') AS removed, coalesce(string_agg(raw, '|' ORDER BY seq) FILTER (kind = 'context'), '') AS context,
         coalesce(string_agg(kind, '|' ORDER BY seq) FILTER (kept), '') AS change_order FROM filtered GROUP BY diff_id, hunk_idx""",
     "hunk_counts": "SELECT diff_id, hunk_idx, n AS lines_changed, a AS added_lines, r AS removed_lines, c AS context_lines FROM hunks",
     "hunk_change_balance": "SELECT diff_id, hunk_idx, balance AS change_balance FROM hunks",
     "hunk_interleaving": "SELECT diff_id, hunk_idx, inter AS interleaving FROM hunks",
-    "event_interleaving": f"""SELECT user_id, day, count(*) AS changes, {_round("any_value(0e0) + CASE WHEN count(*) < 4 THEN 0e0 ELSE coalesce(sum(s), 0) / CAST(count(*) - 1 AS DOUBLE) END", 2)} AS interleaving FROM (
+    "event_interleaving": f"""SELECT user_id, day, changes, {_round("v", 2)} AS interleaving FROM (SELECT user_id, day, count(*) AS changes, CASE WHEN count(*) < 4 THEN 0e0 ELSE coalesce(sum(s), 0) / CAST(count(*) - 1 AS DOUBLE) END AS v FROM (
         SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(k <> lag(k) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS INT) AS s
-        FROM (SELECT *, event_type IN ('click', 'view') AS k FROM events WHERE event_type <> 'signup')) GROUP BY user_id, day""",
+        FROM (SELECT *, event_type IN ('click', 'view') AS k FROM events WHERE event_type <> 'signup')) GROUP BY user_id, day)""",
     "hunk_score": f"SELECT diff_id, hunk_idx, {_round('score', 4)} AS score FROM alone",
     "file_score": f"SELECT diff_id, path, hunk_count, lines_changed, {_round('score', 4)} AS score FROM files",
     "pair_candidates": "SELECT diff_id, i, j, dir FROM ways",
