@@ -1,0 +1,230 @@
+"""The training-data operators against brute force, round trips and odd inputs."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from hunkwise.llm import chat, decontam, htmlextract, langid, linededup, media, mixing, pii, simhash, toxicity
+from hunkwise.llm.registry import ORACLE_SQL, QUERIES
+
+DIR = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, a string, n int"
+ODD = [(1, None, "en", "s", 0, 0.5, "x", 1), (2, "", None, None, 0, None, None, None), (None, "a lone text without an id, of some length", "en", "s", 41, 1.0, "y", 2), (3, "same text twice here and some more words", "en", "s", 5, 0.0, "z", 3), (3, "same text twice here and some more words", "en", "s", 5, 0.0, "z", 3), (4, "long " * 30_000, "fr", "t", 150_000, 0.0, "z", 3)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_mixing_matches_sql(spark):
+    got = QUERIES["op1_source_mixing"](spark, DIR).toPandas()
+    want = duckdb.sql(ORACLE_SQL["op1_source_mixing"].replace("FROM documents", f"FROM '{DIR}/documents.parquet'")).df()
+    columns = sorted(want.columns)
+    assert sorted(map(repr, got[columns].values.tolist())) == sorted(map(repr, want[columns].values.tolist()))
+    assert (got.taken <= 3 * got["size"]).all()
+
+
+def test_mixing_odd(odd, empty):
+    rows = mixing.mix(odd).collect()
+    assert len(rows) == len(ODD) and all(r.taken == r.copies * r["size"] for r in rows)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_langid(spark, odd, empty):
+    texts = ["the cat and the dog are in the house"] * 20 + ["le chat et le chien sont dans la maison"] * 20
+    model = langid.fit(texts, ["en"] * 20 + ["fr"] * 20)
+    assert model.predict("the dog and the house")[0] == "en" and model.predict("la maison et le chien")[0] == "fr"
+    assert model.predict(None) == model.predict("12 34 !") == ("und", 0.0, False)
+    assert {r.doc_id: r.lang_pred for r in langid.identify(odd).collect()}[1] == "und"
+    assert langid.identify(empty).count() == 0
+
+
+@pytest.mark.parametrize("text", [None, "", "x", "é" * 64, "a" * 64, "a\0b", "word " * 5000])
+def test_media_round_trip(text):
+    stored, raw = media.encode(text), (text or "").encode()
+    data, n = media.decode(stored)
+    assert (data[:n], n) == (raw, len(raw)) and len(data) % 64 == 0 and data and not any(data[n:])
+    assert media.header(stored[: media.HEADER])["n_bytes"] == len(raw)
+
+
+def test_media_columns(odd, empty):
+    rows = media.media_columns(odd).collect()
+    assert len(rows) == len(ODD)
+    for r in rows:
+        text = next(x[1] for x in ODD if x[0] == r.doc_id)
+        padded = media.payload(text)
+        assert (r.n_bytes, r.payload_sha256, r.tail_crc32) == (len((text or "").encode()), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    assert media.media_columns(empty).count() == 0
+
+
+def test_banded_distance(spark):
+    rng = random.Random(1)
+    pairs = []
+    for _ in range(300):
+        a = [rng.choice("abé😀") for _ in range(rng.randint(0, 12))]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randint(0, len(b))
+            b[i : i + rng.randint(0, 1)] = [rng.choice("abé")] * rng.randint(0, 1)
+        pairs.append(("".join(a), "".join(b)))
+    for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup.banded_distance(F.col("a"), F.col("b")).alias("d")).collect():
+        assert min(r.d, 3) == min(edits(r.a, r.b), 3)
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_line_links(spark, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "HOT", hot)
+    rng, lines = random.Random(2), set()
+    for _ in range(8):
+        base = [rng.choice("abcdef ,") for _ in range(40)]
+        for _ in range(10):
+            b = list(base)
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randint(0, len(b) - 1)
+                b[i : i + 1] = rng.choice([[], [rng.choice("abc")], [b[i], "e"]])
+            lines.add("".join(b))
+    want = {frozenset(p) for p in itertools.combinations(lines, 2) if edits(*p) <= 2}
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(sorted(lines))], "doc_id long, text string")
+    names = {r.h: r.text for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    assert {frozenset((names[r.a], names[r.b])) for r in linededup.links(docs).collect()} == want
+
+
+def test_line_clean(spark, odd, empty):
+    one, two = "a line that stands in two documents, whole", "a line that stands in one document, only once"
+    docs = spark.createDataFrame([(1, f"{one}\nshort", 0), (2, f"{two}\n{one}", 0), (3, one, 0), (4, None, 0)], "doc_id long, text string, n_chars long")
+    assert {r.doc_id: r.text for r in linededup.clean(docs).collect()} == {1: f"{one}\nshort", 2: two, 4: None}
+    assert linededup.report(odd).count() == len(ODD) and linededup.clean(odd).columns == odd.columns
+    assert linededup.report(empty).count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "user", "Hello?"), (1, 2, "assistant", "Hi.\nHow are you?"), (2, 0, "user", "Why?"), (2, 1, "assistant", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {(r.conv_id, r.turn): r for r in chat.report(turns).collect()}
+    assert len(found) == len(rows)
+    assert chat.report(turns.where("false")).count() == 0
+    assert chat.marker("### Response")[0] == chat.marker("<|assistant|> x")[0] == "assistant" and chat.marker("no marker here: x") == ("", 0)
+
+
+def test_chat_blocks_agree(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(1, t, "User: " * (t % 3 == 0) + "word " * rng.randint(1, 9)) for t in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    model = chat.fit([[("user", "User: a?"), ("assistant", "b b b b b b b b.")]] * 5)
+    whole = {r.turn: r.role for r in chat.parse(df, model).collect()}
+    monkeypatch.setattr(chat, "BLOCK", 7)
+    assert {r.turn: r.role for r in chat.parse(df, model).collect()} == whole
+
+
+def test_pii(spark, odd, empty):
+    texts = ["card 4041894974608795.", "4041-8949-7460-8795", "no card 1234567890123456", "a.42@mail8.example.com", "+1 (988) 555-2485", "42.144.35.254", "300.1.1.1", "31.12.1999", "2023-02-30", "version 2.0.", None, ""]
+    made = [r._clean for r in pii.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    digits = lambda s: re.sub(r"\D", "", s)
+    assert digits(made[0]) == digits(made[1]) != "4041894974608795"
+    total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits(made[0]))))
+    assert total % 10 == 0
+    assert [made[i] for i in (2, 6, 8, 9, 10, 11)] == [texts[i] for i in (2, 6, 8, 9, 10, 11)]
+    assert all(made[i] != texts[i] for i in (3, 4, 5, 7)) and re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", made[4])
+    assert pii.report(odd).count() == len(ODD) and pii.report(empty).count() == 0
+
+
+def test_feistel_is_a_permutation(spark):
+    pairs = spark.range(35).select(F.floor(F.col("id") / 7).alias("a"), (F.col("id") % 7).alias("b"))
+    found = {(r.x.l, r.x.r) for r in pairs.select(pii.feistel(F.col("a"), F.col("b"), 5, 7, "k", "t").alias("x")).collect()}
+    assert found == {(a, b) for a in range(5) for b in range(7)}
+
+
+def test_decontamination(spark, odd, empty):
+    item = " ".join(f"w{i}" for i in range(30))
+    near = item.replace("w29", "x")
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, f"one two {near} three"), (3, " ".join(f"v{i}" for i in range(60))), (4, " ".join(f"w{i}" for i in range(12))), (5, None), (6, "tiny item")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, "tiny item")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.report(docs, bench).collect()} == {(1, 7), (2, 7), (6, 10)}
+    assert decontam.report(odd, bench).count() == 0 and decontam.report(empty, bench).count() == 0 and decontam.report(docs, bench.where("false")).count() == 0
+
+
+def test_html():
+    page = "<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><nav><a href=/>menu</a></nav><header>top</header><div class='cookie-notice'>we use cookies and the like on this site of ours</div><article><h1>Head</h1><p>One &amp;&nbsp;two<br>three.<p>Short.</article><div id=comments><p>first comment</p></div><footer>&copy; x</footer>"
+    assert htmlextract.main_text(page) == "Head\n\nOne & two three.\n\nShort."
+    assert htmlextract.main_text(None) == htmlextract.main_text("") == "" and htmlextract.main_text("a < b <!-- <p") == ""
+    body = "The house that was on the hill is one of those which they had seen when all of them came to the town, and it was not the last of the many that stood there in those days by the river and the road. "
+    plain = f"<body><div><a href=/a>a</a> <a href=/b>b</a></div><div>{body}</div><div>And so.</div><div>{body}</div></body>"
+    assert htmlextract.main_text(plain) == f"{body.strip()}\n\nAnd so.\n\n{body.strip()}"
+
+
+def test_simhash_covers_all_pairs():
+    masks = [m % (1 << 64) for m in simhash.masks()]
+    for i, j in itertools.combinations(range(64), 2):
+        assert any(not m >> i & 1 and not m >> j & 1 for m in masks)
+
+
+@pytest.mark.parametrize("small", [16, 1])
+def test_simhash_links(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL_BUCKET", small)
+    rng = random.Random(4)
+    prints = {rng.getrandbits(63) for _ in range(40)}
+    for p in list(prints):
+        for _ in range(6):
+            q = p
+            for _ in range(rng.randint(1, 4)):
+                q ^= 1 << rng.randrange(63)
+            prints.add(q)
+    parent = {p: p for p in prints}
+
+    def root(x, of):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for a, b in itertools.combinations(prints, 2):
+        if (a ^ b).bit_count() <= 2 and root(a, parent) != root(b, parent):
+            parent[root(a, parent)] = root(b, parent)
+    got = {p: p for p in prints}
+    for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long")).collect():
+        if root(r.a, got) != root(r.b, got):
+            got[root(r.a, got)] = root(r.b, got)
+    groups = lambda of: {frozenset(p for p in prints if root(p, of) == r) for r in {root(p, of) for p in prints}}
+    assert groups(got) == groups(parent)
+
+
+def test_simhash_odd(odd, empty):
+    found = {r.doc_id: r for r in simhash.components(odd).collect()}
+    assert found[1].fingerprint == found[2].fingerprint == "0" * 16 and found[2].component_id == 1
+    assert simhash.components(empty).count() == 0
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "None"]
+
+
+def test_toxicity(spark, odd, empty):
+    rng = random.Random(5)
+    clean = [" ".join(rng.choice("red green blue one two three four five".split()) for _ in range(12)) for _ in range(300)]
+    bad = [f"{c} badword" for c in clean[:60]]
+    model = toxicity.fit(bad, clean + bad[:30], 0.1)
+    assert model.score("red badword") > 0.5 > model.score("red green") and 0 <= model.score(None) < 0.5
+    labels = spark.createDataFrame([(1, 1), (2, None), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.toxicity(odd, labels).count() == len(ODD) and toxicity.toxicity(empty, labels.where("false")).count() == 0
+    assert toxicity.drop_toxic(odd, labels.where("false")).columns == odd.columns
