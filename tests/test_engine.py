@@ -80,8 +80,9 @@ def test_config(tmp_path):
 
 def test_cli(spark, tmp_path, capsys):
     config = tmp_path / "c.toml"
-    config.write_text("hunk_score_threshold=0.5\nfile_score_threshold=0.5\nmax_diff_lines=2\nmax_hunk_lines=50\nmax_move_lines=50\nmove_similarity_penalty=2.0\nmin_overall_score=0.5\n")
+    config.write_text("hunk_score_threshold=0.5\nfile_score_threshold=0.5\nmax_diff_lines=2\nmax_hunk_lines=50\nmax_move_lines=50\nmove_similarity_penalty=2.0\nmax_files_changed=2\n")
     code = cli.main(["-c", str(config), "--from-stdin", "--detailed"], spark, io.StringIO(PATCH))
     out = json.loads(capsys.readouterr().out)
+    assert out["violations"] == ["[ERROR] Diff touches 3 files, exceeds limit of 2"]
     assert code == 1 and not out["passed"] and out["files_changed"] == 3 and out["hunks_changed"] + 2 * len(out["moves"]) == 2
     assert [m["name"] for m in out["overall"]][:2] == ["overall.files_changed", "overall.lines_changed"] and out["overall"][0]["value"] == 3
