@@ -6,10 +6,11 @@ are over all documents.
 
 Windows: a window that holds anything of an item shares a shingle with it, so windows are laid where a document and an
 item share one, aligned by it, at each alignment; every document's shingles are looked up. A document whose shared
-shingles taken together weigh less than ``LEAST`` of an item has no window for it. Each window and each item gets a
-weighted 64-bit SimHash. Fingerprints within ``RADIUS`` bits are found by multi-index blocks: of RADIUS+1 blocks one must
-agree, so windows and items of one size meet on equal blocks, and all within the radius are found. The radius lies more
-than three deviations above the distance expected at ``LEAST``. The exact weighted similarity decides.
+shingles taken together weigh less than ``LEAST`` of an item has no window for it. Each item gets a weighted 64-bit
+SimHash, and each window one of what it holds of the item: foreign words don't enter the similarity, so they must not
+enter the fingerprint either, however rare they are. Where a bit's sum in the item is larger than all that a window may
+lack, a window at ``LEAST`` has the same bit; windows that differ in such a bit go, which loses nothing. The exact
+weighted similarity decides.
 
 The benchmark's shingles are broadcast if there are at most ``BROADCAST_ROWS``, and joined by a shuffle else.
 
@@ -28,7 +29,6 @@ from .common import small_enough, written
 
 SHINGLE = 5
 LEAST = 0.8
-RADIUS = 24
 BROADCAST_ROWS = 1_000_000
 
 
@@ -53,22 +53,16 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return read.select("item_id", F.size("ws").alias("n"), F.least(F.size("ws"), F.lit(SHINGLE)).alias("size"), F.coalesce(*cases, shingles(F.col("ws"), SHINGLE)).alias("sh"))
 
 
-def _simhash(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Weighted SimHash of rows ``(by, h, w)``, as a signed long."""
-    up = [F.sum(F.when(F.shiftright("h", b).bitwiseAND(F.lit(1).cast("long")) == 1, F.col("w")).otherwise(-F.col("w"))).alias(f"b{b}") for b in range(64)]
-    bits = [F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b in range(64)]
-    whole = bits[0]
-    for b in bits[1:]:
-        whole = whole.bitwiseOR(b)
-    return rows.groupBy(*by).agg(*up).select(*by, whole.alias("fp"))
+def _simhash(rows: DataFrame, by: list[str], least: float = 1.0) -> DataFrame:
+    """Weighted SimHash of rows ``(by, h, w)``, as a signed long, with ``weight``, the sum of the weights. A part of the
+    rows that weighs ``least`` of them agrees in the bits of ``sure``: what it lacks is too light to turn their sums."""
+    up = [F.expr(f"sum(if(shiftright(h, {b}) & 1L = 1L, w, -w)) as b{b}") for b in range(64)]  # text: a Column of this size takes seconds to build
 
+    def bits(holds: str) -> str:
+        return " | ".join(f"if({holds.format(s=f'b{b}')}, shiftleft(1L, {b}), 0L)" for b in range(64))
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` once for each of RADIUS+1 blocks of ``fp``, with ``block`` and its ``bits``."""
-    edges = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
-    masks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:], strict=False)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return rows.select("*", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("block", "bits"))
+    made = rows.groupBy(*by).agg(F.sum("w").alias("weight"), *up).withColumn("lacks", F.floor((1 - least) * F.col("weight") + 1e-6))
+    return made.select(*by, "weight", F.expr(bits("{s} > 0")).alias("fp"), F.expr(bits("abs({s}) > lacks")).alias("sure"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
@@ -110,7 +104,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     at = hits.alias("d").join(weighed.alias("i"), (F.col("d.size") == F.col("i.size")) & (F.col("d.h") == F.col("i.h"))).select("d.doc_id", "d.th", "i.item_id", "i.n", "i.size", F.greatest(F.col("pos") - F.col("off"), F.lit(0)).alias("start"))
     at = at.distinct().alias("p").join(bound.alias("q"), F.col("p.doc_id").eqNullSafe(F.col("q.doc_id")) & (F.col("p.th") == F.col("q.th")) & (F.col("p.item_id") == F.col("q.item_id")), "left_semi")
-    windows = written(at.select("doc_id", "th", "n", "size", "start").distinct(), "leaks-windows")
+    windows = written(at.select("p.*"), "leaks-windows")
 
     few = bound.select("doc_id", "th").distinct()
     few = F.broadcast(few) if small_enough(few, BROADCAST_ROWS) else few
@@ -119,21 +113,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     cut = windows.alias("w").join(texts.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.th") == F.col("t.th")))
     cut = cut.select("w.*", F.slice("ws", F.col("start") + 1, F.col("n")).alias("ws"))
     cases = [F.when(F.col("size") == k, shingles(F.col("ws"), k)) for k in range(1, SHINGLE)]
-    cut = cut.select("doc_id", "th", "n", "size", "start", F.explode(F.coalesce(*cases, shingles(F.col("ws"), SHINGLE))).alias("h"))
-    inside = cut.groupBy("doc_id", "th", "n", "size", "start", "h").agg(F.count("*").alias("found"))
-    inside = inside.join(weights, ["size", "h"], "left").withColumn("w", F.coalesce("w", F.lit(rarest).cast("long")))
-    inside = written(inside, "leaks-inside")
-
-    keyed = ["doc_id", "th", "n", "size", "start"]
-    prints = _blocks(_simhash(inside.select(*keyed, "h", (F.col("w") * F.col("found")).alias("w")), keyed)).alias("x")
-    asked = _blocks(_simhash(held.select("item_id", "n", "size", "h", (F.col("w") * F.col("times")).alias("w")), ["item_id", "n", "size"])).alias("y")
-    apart = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
-    met = prints.join(asked, (F.col("x.n") == F.col("y.n")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.bits") == F.col("y.bits")) & (apart <= RADIUS))
-    near = written(met.select(*[F.col(f"x.{c}").alias(c) for c in keyed], "y.item_id", apart.alias("hamming")).distinct(), "leaks-near")
-
-    both = near.alias("p").join(inside.alias("i"), F.col("p.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("p.th") == F.col("i.th")) & (F.col("p.n") == F.col("i.n")) & (F.col("p.start") == F.col("i.start")))
-    both = both.select("p.*", "i.h", "i.found").alias("b").join(held.alias("e"), (F.col("b.item_id") == F.col("e.item_id")) & (F.col("b.h") == F.col("e.h"))).select("b.*", "e.times", "e.w")
-    scored = both.groupBy(*keyed, "item_id", "hamming").agg(F.sum(F.least("found", "times") * F.col("w")).alias("common")).join(whole, "item_id")
+    keyed = ["doc_id", "th", "item_id", "n", "size", "start"]
+    cut = cut.select(*keyed, F.explode(F.coalesce(*cases, shingles(F.col("ws"), SHINGLE))).alias("h"))
+    mine = held.select(F.col("item_id").alias("_item"), F.col("h").alias("_h"), "times", "w")
+    inside = cut.join(mine, (F.col("item_id") == F.col("_item")) & (F.col("h") == F.col("_h"))).groupBy(*keyed, "h").agg(F.count("*").alias("found"), F.first("times").alias("times"), F.first("w").alias("w"))
+    inside = inside.select(*keyed, "h", (F.least("found", "times") * F.col("w")).alias("w"))
+
+    asked = _simhash(held.select("item_id", "h", (F.col("w") * F.col("times")).alias("w")), ["item_id"], least).select("item_id", F.col("fp").alias("item_fp"), "sure", F.col("weight").alias("whole"))
+    asked, prints = written(asked, "leaks-asked"), written(_simhash(inside, keyed).drop("sure"), "leaks-prints")
+    scored = prints.withColumnRenamed("weight", "common").join(asked, "item_id")
+    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    scored = scored.where(apart.bitwiseAND(F.col("sure")) == 0).withColumn("hamming", F.bit_count(apart))
     scored = scored.withColumn("similarity", F.col("common") / F.col("whole")).where(F.col("common") >= F.lit(least) * F.col("whole"))
     best = F.max_by(F.struct("start", "n", "similarity", "hamming"), F.struct("similarity", -F.col("start")))
     return scored.groupBy("doc_id", "th", "item_id").agg(best.alias("x")).select("doc_id", "th", "item_id", F.col("x.start").alias("start"), F.col("x.n").alias("n_words"), F.col("x.similarity").alias("similarity"), F.col("x.hamming").alias("hamming"))
