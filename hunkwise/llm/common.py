@@ -7,11 +7,14 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: Words of all operators: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Tables of at most so many bytes are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +45,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch = path
+    return made
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
@@ -50,23 +63,57 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes that a row takes in memory."""
+
+    def of(c: Column, kind: DataType) -> Column | int:
+        if isinstance(kind, StringType | BinaryType):
+            return 24 + F.coalesce(F.octet_length(c), F.lit(0))
+        if isinstance(kind, ArrayType):
+            inner = kind.elementType
+            if isinstance(inner, StringType | BinaryType):
+                return 24 + F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + 24 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
+            return 24 + (64 if isinstance(inner, StructType) else 8) * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+        return 8
+
+    return F.lit(16).cast("long") + sum((of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0))
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcasting if all its rows take at most ``most`` bytes, else ``df`` itself."""
+    total = df.select(row_bytes(df).alias("n")).agg(F.sum("n")).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def min_labels(edges: DataFrame, name: str = "labels") -> DataFrame:
-    """Connected components of ``edges(a, b)`` (longs): ``(node, root)``, root being the smallest node reachable.
+    """Connected components of ``edges(a, b)``: ``(node, root)``, root being the smallest node reachable.
 
-    Rounds of neighbour minima followed by pointer jumping, so long chains take a logarithmic number of rounds. Each
-    round ends in a written table; only the number of changed rows comes to the driver.
+    Nodes are of any ordered type. Rounds of neighbour minima followed by pointer jumping, so long chains take a
+    logarithmic number of rounds. Each round ends in a written table, and the tables before it are deleted; only whether a
+    row has changed comes to the driver.
     """
-    both = written(
-        edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        f"{name}-edges",
-    )
+    both = edges.where("a <> b").select("a", "b")
+    both = written(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), name)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        hooked = written(hooked, name)
+        hooked = written(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), name)
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        labels = written(hooked.join(jump, "root").select("node", "old", F.least("root", "up").alias("root")), name)
+        after = written(hooked.join(jump, "root").select("node", "old", F.least("root", "up").alias("root")), name)
+        free(labels, hooked)
+        labels = after
         if labels.where("root <> old").isEmpty():
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
+            free(both)
+            found = labels.select("node", "root")
+            found.scratch = labels.scratch
+            return found
+        scratch, labels = labels.scratch, labels.select("node", "root")
+        labels.scratch = scratch
