@@ -22,7 +22,7 @@ import struct
 import tarfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ from .common import scratch_path, written
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
+#: Stored bytes that one task reads back.
+READ_BYTES = 16 << 20
 #: Signature, image header and text chunk: what a header-only read fetches.
 HEADER = 96
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -107,11 +109,11 @@ class _Shard:
     def __init__(self, folder: str) -> None:
         files, path = _store(folder)
         files.create_dir(path, recursive=True)
-        self.name = f"{uuid.uuid4().hex}.tar"
-        self.out, self.size = files.open_output_stream(f"{path}/{self.name}"), 0
+        self.key = uuid.uuid4().bytes  # the file is named by its hex digits
+        self.out, self.size = files.open_output_stream(f"{path}/{self.key.hex()}.tar"), 0
 
-    def add(self, digest: str, stored: bytes) -> int:
-        info = tarfile.TarInfo(f"{digest}.png")
+    def add(self, digest: bytes, stored: bytes) -> int:
+        info = tarfile.TarInfo(f"{digest.hex()}.png")
         info.size = len(stored)
         block = info.tobuf(tarfile.USTAR_FORMAT) + stored + bytes(-len(stored) % 512)
         at = self.size + 512
@@ -129,29 +131,27 @@ def pack(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: _Shard | None = None
-        at: dict[str, tuple[str, int, int]] = {}
+        at: dict[bytes, tuple[bytes, int, int]] = {}
         for b in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
+            made: list[tuple] = []
+            for text in b.column(1):
                 stored = encode(text.as_py())
-                digest = hashlib.sha256(stored).hexdigest()
+                digest = hashlib.sha256(stored).digest()
                 if digest not in at:
                     if len(at) >= 200_000:
                         at.clear()
                     shard = shard or _Shard(folder)
-                    at[digest] = (shard.name, shard.add(digest, stored), len(stored))
+                    at[digest] = (shard.key, shard.add(digest, stored), len(stored))
                     if shard.size >= SHARD_BYTES:
                         shard.close()
                         shard = None
-                rows.append((doc.as_py(), digest, *at[digest]))
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "digest", "shard", "offset", "length"), r, strict=True)) for r in rows], schema=_PACKED)
+                made.append((digest, *at[digest]))
+            columns = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "digest", "shard", "offset", "length"])
         if shard:
             shard.close()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, digest string, shard string, offset long, length long")
-
-
-_PACKED = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, digest binary, shard binary, offset long, length long")
 
 
 def canonical(packed: DataFrame) -> DataFrame:
@@ -159,56 +159,63 @@ def canonical(packed: DataFrame) -> DataFrame:
     return packed.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("x")).select("digest", "x.*")
 
 
-def _ranges(objects: DataFrame, folder: str, fields: list[tuple[str, pa.DataType]], read, whole: bool) -> DataFrame:  # noqa: ANN001
-    """``digest`` and what ``read(digest, bytes)`` makes of each object's range; a shard's objects are read in order."""
-    schema = pa.schema([("digest", pa.string()), *fields])
-    spark_type = {pa.int64(): "long", pa.string(): "string"}
+def placed(objects: DataFrame, total_bytes: int) -> DataFrame:
+    """``objects`` by shard and in order of offset, ``READ_BYTES`` of them a partition."""
+    many = max(1, -(-total_bytes // READ_BYTES))
+    return objects.repartition(int(many), "shard", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("shard", "offset")
+
+
+def _ranges(objects: DataFrame, folder: str, fields: str, read: Callable[[bytes, bytes], tuple], whole: bool) -> DataFrame:
+    """``objects`` with the further columns that ``read(digest, bytes)`` makes of each object's range."""
+    named = [f.split() for f in fields.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t] for _, t in named]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _store(folder)
-        name, source = "", io.BytesIO()
+        name, source = b"", io.BytesIO()
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                if r["shard"] != name:
+            made = []
+            for digest, shard, offset, length in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True):
+                if shard != name:
                     source.close()
-                    name, source = r["shard"], files.open_input_file(f"{path}/{r['shard']}")
-                source.seek(r["offset"])
-                rows.append({"digest": r["digest"], **read(r["digest"], source.read(r["length"] if whole else min(HEADER, r["length"])))})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    name, source = shard, files.open_input_file(f"{path}/{shard.hex()}.tar")
+                source.seek(offset)
+                made.append(read(digest, source.read(length if whole else min(HEADER, length))))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([m[i] for m in made], t) for i, t in enumerate(kinds))], names=[*b.schema.names, *(n for n, _ in named)])
         source.close()
 
-    placed = objects.select("digest", "shard", "offset", "length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
-    return placed.mapInArrow(run, ", ".join(["digest string", *(f"{n} {spark_type[t]}" for n, t in fields)]))
+    known = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in objects.schema)
+    return objects.mapInArrow(run, f"{known}, {fields}")
 
 
 def headers(objects: DataFrame, folder: str) -> DataFrame:
-    """``digest, width, height, bit_depth, n_bytes`` from header-only range reads."""
-    return _ranges(objects, folder, [(n, pa.int64()) for n in ("width", "height", "bit_depth", "n_bytes")], lambda _, data: header(data), False)
+    """``objects`` with ``width, height, bit_depth, n_bytes`` from header-only range reads."""
+    return _ranges(objects, folder, "width long, height long, bit_depth long, n_bytes long", lambda _, data: tuple(header(data).values()), False)
 
 
-def _features(digest: str, stored: bytes) -> dict:
-    if hashlib.sha256(stored).hexdigest() != digest:
-        raise ValueError(f"object {digest} is damaged")
+def _features(digest: bytes, stored: bytes) -> tuple:
+    if hashlib.sha256(stored).digest() != digest:
+        raise ValueError(f"object {digest.hex()} is damaged")
     data, _ = decode(stored)
-    return {
-        "payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-WIDTH:]),
-        "media_bytes": len(stored), "feature": feature(data),
-    }
+    return len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-WIDTH:]), len(stored), feature(data)
 
 
 def read_back(objects: DataFrame, folder: str) -> DataFrame:
-    """``digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, feature`` from whole objects."""
-    return _ranges(objects, folder, [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("feature", pa.string())], _features, True)
+    """``objects`` with ``payload_bytes, payload_sha256, tail_crc32, media_bytes, feature`` from whole objects."""
+    return _ranges(objects, folder, "payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, feature string", _features, True)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``, with its object's address, metadata and features."""
+    """One row per row of ``docs``, with its object's address, metadata and features.
+
+    Objects are placed once; headers and whole objects are then read in one chain without a shuffle between.
+    """
     folder = scratch_path(docs.sparkSession, "media")
     packed = written(pack(docs, folder, id_col, text_col), "media-rows")
-    objects = written(canonical(packed), "media-objects")
-    known = headers(objects, folder).join(read_back(objects, folder), "digest").join(objects, "digest")
-    known = written(known, "media-known")
+    total = packed.agg(F.sum("length")).first()[0] or 0
+    known = written(read_back(headers(placed(canonical(packed), total), folder), folder), "media-known")
+    hexed = lambda c: F.lower(F.hex(c))
     return packed.select("doc_id", "digest").join(known, "digest").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "shard", "offset", "length", "width", "height",
+        "doc_id", "n_bytes", "payload_bytes", hexed("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("digest").alias("media_sha256"), "feature",
+        F.concat(hexed("shard"), F.lit(".tar")).alias("shard"), "offset", "length", "width", "height",
     )
