@@ -12,8 +12,12 @@ case letter, and all punctuation. Separators don't count: one number written two
 A Feistel round changes one half by a number from a keyed SHA-256 of the other half, which is undone by subtraction, so
 any number of rounds is a permutation. The halves are taken modulo the factors of the format's size, so nothing leaves it.
 
+Patterns are bounded wherever a group repeats (a domain has 126 labels of 63 characters at most, as DNS has it; what is
+longer is no address), so no text, however long, exhausts the matcher's stack. A text that has none of the marks that some
+pattern needs (``NEEDS``) can't match and is not searched.
+
 Defined results: a null text stays null with nothing found, an empty one empty. Repeated rows and further columns don't
-matter; an empty table gives an empty result. Texts without a digit or ``@`` aren't searched.
+matter, except that columns named like the results are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,14 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_name
 from .linededup import _let
 
 ROUNDS = 6
-DEFAULT_KEY = "pii-1"
 _DAYS = 270  # 270 * 270 days make a block
 _HEX = "0123456789abcdef"
 
-EMAIL = r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![\w.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?![\w-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -36,6 +40,8 @@ IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)"
 DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w/-])"
 PHONE = r"(?<![\w+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5})(?!\w)"
 SECRET = r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3})(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;]{6,})|\bAKIA[0-9A-Z]{16}\b"
+#: What every match of a pattern has in it: a digit, an @, or a secret's label or mark.
+NEEDS = r"[0-9@]|AKIA|(?i:password|passwd|pwd|token|secret|api[_-]?key)"
 KINDS = (("secret", SECRET), ("email", EMAIL), ("iban", IBAN), ("card", CARD), ("ssn", SSN), ("ip", IPV4), ("date", DATE), ("phone", PHONE))
 
 
@@ -224,7 +230,7 @@ def _secret(m: Column, key: str) -> Column:
 _MAKERS = {"secret": _secret, "email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "ip": _ip, "date": _date, "phone": _phone}
 
 
-def pseudonym(match: Column, key: str = DEFAULT_KEY) -> Column:
+def pseudonym(match: Column, key: str) -> Column:
     """The pseudonym of one match of the patterns; the match itself where it isn't valid."""
     made = None
     for kind, pattern in KINDS:
@@ -233,23 +239,23 @@ def pseudonym(match: Column, key: str = DEFAULT_KEY) -> Column:
     return made.otherwise(match)
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
-    """``docs`` with ``_clean``, the text with pseudonyms, and ``_found``, the number of values replaced."""
-    text = F.col(text_col)
-    worth = text.rlike("[0-9@]")
-    found = F.when(worth, F.regexp_extract_all(text, F.lit(_anywhere()), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    first = docs.withColumn("_hits", found)
-    second = first.withColumn("_new", F.transform("_hits", lambda m: pseudonym(m, key)))
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", clean_col: str = "_clean", found_col: str = "_found") -> DataFrame:
+    """``docs`` with ``clean_col``, the text with pseudonyms, and ``found_col``, the number of values replaced."""
+    others = [c for c in docs.columns if c.lower() not in (clean_col.lower(), found_col.lower())]
+    hits, new = fresh_name(docs, "hits"), fresh_name(docs, "new")
+    text = F.col(f"`{text_col}`")
+    found = F.when(text.rlike(NEEDS), F.regexp_extract_all(text, F.lit(_anywhere()), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    made = docs.withColumn(hits, found).withColumn(new, F.transform(hits, lambda m: pseudonym(m, key)))
 
     def joined(gaps: Column) -> Column:
-        return F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("_hits")), F.col("_new"), lambda g, n: F.concat(g, n)), ""), F.element_at(gaps, -1))
+        return F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(hits)), F.col(new), lambda g, n: F.concat(g, n)), ""), F.element_at(gaps, -1))
 
-    clean = F.when(F.size("_hits") == 0, text).otherwise(_let(F.split(text, _anywhere(), -1), joined))
-    changed = F.size(F.filter(F.arrays_zip(F.col("_hits").alias("h"), F.col("_new").alias("n")), lambda x: x["h"] != x["n"]))
-    return second.select(*[F.col(f"`{c}`") for c in docs.columns], clean.alias("_clean"), F.when(text.isNull(), 0).otherwise(changed).cast("long").alias("_found"))
+    clean = F.when(F.size(hits) == 0, text).otherwise(_let(F.split(text, _anywhere(), -1), joined))
+    changed = F.size(F.filter(F.arrays_zip(F.col(hits).alias("h"), F.col(new).alias("n")), lambda x: x["h"] != x["n"]))
+    return made.select(*[F.col(f"`{c}`") for c in others], clean.alias(clean_col), F.when(text.isNull(), 0).otherwise(changed).cast("long").alias(found_col))
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_found, text`` (pseudonymised)."""
-    made = pseudonymise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    made = pseudonymise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), key)
     return made.select("doc_id", F.col("_found").alias("n_found"), F.col("_clean").alias("text"))
