@@ -58,11 +58,6 @@ def free(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows. Stops counting just past the bound."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` is called so (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -29,12 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import min_labels, small_enough, written
+from .common import broadcast_if_small, min_labels, written
 
 TAU = 2
 MIN_CHARS = 32
 HOT = 64
-BROADCAST_ROWS = 500_000
 #: Characters whose parities are compared (fixed values).
 _PARITY = "etaoinsrhldcumfpgwybvkxjqz ,.é"
 _LAST = (1 << 63) - 1
@@ -161,7 +160,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     members = written(members.where(F.col("any") & (F.col("lo") != F.col("hi"))).select("key", "a", "index", "n").distinct(), "lines-members")
 
     wanted = members.select("a").distinct()
-    wanted = F.broadcast(wanted) if small_enough(wanted, BROADCAST_ROWS) else wanted
+    wanted = broadcast_if_small(wanted)
     texts = lines.select("a", "b", "line").join(wanted, "a", "left_semi").dropDuplicates(["a", "b"])
     texts = written(texts.withColumn("sig", parity(F.col("line"))), "lines-texts")
 
@@ -204,7 +203,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``_text`` (the text without dropped lines), ``_lines``, ``_dropped`` and ``_linked``."""
     found = written(dropped(docs, id_col, text_col).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), "drops", "linked"), "lines-drops")
-    found = F.broadcast(found) if small_enough(found, BROADCAST_ROWS) else found
+    found = broadcast_if_small(found)
     joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(docs[text_col]) == F.col("_th")), "left")
     lines = F.split(docs[text_col], "\n")
     kept = _let(F.struct(lines.alias("l"), F.col("drops").alias("d")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["l"]) - 1), x["d"]), lambda i: F.get(x["l"], i)), "\n"))

@@ -26,14 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import min_labels, small_enough, written
+from .common import broadcast_if_small, free, fresh_name, min_labels, written
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
 #: Members of a bucket up to which they are compared with each other.
 SMALL_BUCKET = 16
-BROADCAST_ROWS = 500_000
 _DIMS = RADIUS + 1
 
 
@@ -63,14 +62,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` of every row; ``fp`` is the fingerprint as a signed long."""
+    """``(doc_id, th, fp)`` of every row; ``fp`` is the fingerprint as a signed long, ``th`` the text's XXH64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made)], names=["doc_id", "fp"])
+            made = np.array([fingerprint(t.as_py()) for t in b.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made)], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -93,34 +93,43 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.union(stars.select("a", F.explode("all").alias("b"))).where("a <> b").distinct()
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """``fp, least, root`` of every distinct fingerprint: its smallest doc_id and its component."""
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    labels = min_labels(links(nodes), "simhash-labels")
+    return nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fingerprint (16 hex digits), component_id``."""
     prints = written(fingerprints(docs, id_col, text_col), "simhash-prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    labels = min_labels(links(nodes), "simhash-labels")
-    rooted = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; its columns are those of ``docs``.
-
-    Where ids repeat, one row of the id stays. Components without any id keep one row.
+    """``docs`` with one row of each component, the one with the smallest id (rows without an id come last, ties go by a
+    hash of the text); its columns are those of ``docs``. Rows are told apart by id and text, so an id that stands on
+    different texts stays wherever its row is the first of a component. Of rows that agree in both, one stays.
     """
-    found = written(components(docs, id_col, text_col).select("doc_id", "component_id"), "simhash-components")
-    lost = found.where("doc_id is null or doc_id <> component_id").select(F.col("doc_id").alias("_lost"))
-    lost = written(lost.where("_lost is not null").distinct(), "simhash-lost")
-    lost = F.broadcast(lost) if small_enough(lost, BROADCAST_ROWS) else lost
-    kept = docs.join(lost, docs[id_col].cast("long") == F.col("_lost"), "left_anti")
-    named, bare = kept.where(F.col(id_col).isNotNull()), kept.where(F.col(id_col).isNull())
-    if not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = named.dropDuplicates([id_col])
-    if found.where("doc_id is null").isEmpty():
-        return named
-    # rows without an id: one row for each fingerprint, of components in which no row has an id
-    own = components(bare, id_col, text_col).where("component_id is null").select("fingerprint")
-    alone = components(docs, id_col, text_col).where("component_id is null").select("fingerprint").distinct()
-    if own.join(alone, "fingerprint").isEmpty():
-        return named
-    return named.unionByName(bare.dropDuplicates([text_col]))
+    prints = written(fingerprints(docs, id_col, text_col), "simhash-prints")
+    rooted = _rooted(prints).select("fp", "root")
+    place = F.struct(F.col("doc_id").isNull().alias("bare"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("th"))
+    keyed = written(prints.groupBy("doc_id", "th", "fp").agg(F.count("*").alias("n")).join(rooted, "fp").select("root", "n", "doc_id", "th", place.alias("place")), "simhash-keyed")
+    firsts = keyed.groupBy("root").agg(F.min("place").alias("first"))
+    marked = written(keyed.join(firsts, "root").select("doc_id", "th", "n", (F.col("place") == F.col("first")).alias("stays")), "simhash-marked")
+    free(prints, keyed)
+
+    def matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        d, th = fresh_name(docs, "key_id"), fresh_name(docs, "key_text")
+        keys = broadcast_if_small(keys.select(F.col("doc_id").alias(d), F.col("th").alias(th)))
+        return rows.join(keys, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(th)), how)
+
+    kept = matching(docs, marked.where(~F.col("stays")), "left_anti")
+    again = marked.where(F.col("stays") & (F.col("n") > 1))
+    if again.isEmpty():
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = matching(kept, again, "left_semi").groupBy(F.col(f"`{id_col}`").alias("d"), F.xxhash64(F.col(f"`{text_col}`")).alias("th")).agg(F.first(row).alias("row")).select("row.*")
+    return matching(kept, again, "left_anti").unionByName(one)
