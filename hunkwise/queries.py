@@ -41,9 +41,18 @@ def _hunks(spark: SparkSession, sf: str) -> DataFrame:
     return H.build_hunks(_filtered(spark, sf))
 
 
+_last: list[A.Analysis] = []
+
+
 def _analysis(spark: SparkSession, sf: str, registry: M.Registry | None = None) -> A.Analysis:
+    """The analysis of the orders; the tables that the one before it keeps are let go."""
+    while _last:
+        before = _last.pop()
+        if before.overall.sparkSession is spark:
+            before.release()
     lines = L.lineitem_changes(spark, sf)
-    return A.analyse(lines, H.files_of(lines), CONFIG, registry=registry)
+    _last.append(A.analyse(lines, H.files_of(lines), CONFIG, registry=registry))
+    return _last[0]
 
 
 def _measured(spark: SparkSession, sf: str) -> DataFrame:

@@ -19,9 +19,11 @@ def stream_reports(spark: SparkSession, folder: str, out: str, state: str, confi
     def analysed(batch: DataFrame, number: int) -> None:
         parsed = parse_diffs(batch).persist()
         diffs, files, lines, errors = split_parsed(parsed)
-        made = report_json(report(analyse(lines, files, config, diffs, keep=False), detailed), detailed)
+        analysis = analyse(lines, files, config, diffs)
+        made = report_json(report(analysis, detailed), detailed)
         failed = errors.select("diff_id", F.to_json(F.struct("parse_error")).alias("json"))
         made.unionByName(failed).write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch replaces itself
+        analysis.release()
         parsed.unpersist()
 
     return arriving.writeStream.foreachBatch(analysed).option("checkpointLocation", state).trigger(availableNow=True).start()
