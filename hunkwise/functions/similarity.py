@@ -29,6 +29,46 @@ def line_ratio(a: str, b: str) -> float:
     return (1.0 - (n - 2 * common_subsequence(a, b)) / n) * 100.0 / 100.0
 
 
+class LineMatcher:
+    """One-to-one matches between two lists of lines, best first, from a similarity of ``least`` on.
+
+    Equal similarities go by the first list's order, then the second's. Similarities of the last ``KNOWN`` pairs of texts
+    are remembered.
+    """
+
+    KNOWN = 1 << 18
+
+    def __init__(self, least: float) -> None:
+        self.least = least
+        self.known: dict[tuple[str, str], float] = {}
+
+    def ratio(self, a: str, b: str) -> float:
+        found = self.known.get((a, b))
+        if found is None:
+            if len(self.known) >= self.KNOWN:
+                self.known.clear()
+            found = self.known[a, b] = line_ratio(a, b)
+        return found
+
+    def match(self, first: list[str], second: list[str]) -> tuple[int, float]:
+        """Number of matches, and their similarities added up in order of acceptance."""
+        pairs = []
+        for i, a in enumerate(first):
+            for j, b in enumerate(second):
+                m, n = len(a), len(b)
+                # no similarity is above 2 * min / (m + n)
+                if 2.0 * min(m, n) >= self.least * (m + n) and (score := self.ratio(a, b)) >= self.least:
+                    pairs.append((-score, i, j))
+        pairs.sort()
+        gone, come, total = set(), set(), 0.0
+        for negative, i, j in pairs:
+            if i not in gone and j not in come:
+                gone.add(i)
+                come.add(j)
+                total -= negative
+        return len(gone), total
+
+
 @F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """``line_ratio`` over Arrow batches; each distinct pair of a batch is computed once."""
@@ -60,29 +100,11 @@ def indel_ratio_sql(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(ratio)
 
 
-def greedy_match(pairs: Column) -> Column:
-    """One-to-one matches of ``pairs``, an array of struct(neg, i, j), best first: struct(picked, total).
+def greedy_pairs(pairs: Column) -> Column:
+    """One-to-one pairs out of ``pairs``, an array of struct(neg, i, j), best first: an item is in one pair at most.
 
-    ``neg`` is the negated score; equal scores go by i, then j. ``total`` adds the scores in order of acceptance.
+    ``neg`` is the negated score; equal scores go by i, then j.
     """
-    kind = "struct<is:array<int>,js:array<int>,picked:array<struct<neg:double,i:int,j:int>>,total:double>"
-    empty = F.struct(F.array().alias("is"), F.array().alias("js"), F.array().alias("picked"), F.lit(0.0).alias("total")).cast(kind)
-
-    def step(s: Column, p: Column) -> Column:
-        free = ~F.array_contains(s["is"], p["i"]) & ~F.array_contains(s["js"], p["j"])
-        more = F.struct(
-            F.concat(s["is"], F.array(p["i"])).alias("is"),
-            F.concat(s["js"], F.array(p["j"])).alias("js"),
-            F.concat(s["picked"], F.array(p)).alias("picked"),
-            (s["total"] - p["neg"]).alias("total"),
-        ).cast(kind)
-        return F.when(free, more).otherwise(s)
-
-    return F.aggregate(F.array_sort(pairs), empty, step, lambda s: F.struct(s["picked"].alias("picked"), s["total"].alias("total")))
-
-
-def greedy_pairs(pairs: Column) -> Column:
-    """As ``greedy_match`` where i and j are items of one list: an item is in one pair at most."""
     kind = "struct<used:array<int>,picked:array<struct<neg:double,i:int,j:int>>>"
     empty = F.struct(F.array().alias("used"), F.array().alias("picked")).cast(kind)
 

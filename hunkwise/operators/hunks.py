@@ -8,6 +8,7 @@ serves every grouping, join and window that follows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hunkwise.config import Config, prefix_table
@@ -24,19 +25,27 @@ def filter_lines(lines: DataFrame, config: Config) -> DataFrame:
 
 
 def build_hunks(filtered: DataFrame) -> DataFrame:
-    """One row per hunk: its added, removed and context lines, the order of its changes, and counts."""
-    line = F.struct("seq", "kind", "kept", "norm", "raw")
-    grouped = filtered.repartition("diff_id").groupBy(*HUNK_KEY).agg(F.first("file_path").alias("file_path"), F.array_sort(F.collect_list(line)).alias("lines"))
+    """One row per hunk: its added, removed and context lines, the order of its changes, and counts.
+
+    ``added_occ`` and ``removed_occ`` say the how-manieth of its text on its side each line is. They are counted by a
+    sort within what is shuffled by diff anyway, so a hunk of very many lines costs no more than its share.
+    """
+    same = W.partitionBy(*HUNK_KEY, "kind", "kept", "norm").orderBy("seq")
+    numbered = filtered.repartition("diff_id").withColumn("occ", F.row_number().over(same))
+    line = F.struct("seq", "kind", "kept", "norm", "raw", "occ")
+    grouped = numbered.groupBy(*HUNK_KEY).agg(F.first("file_path").alias("file_path"), F.array_sort(F.collect_list(line)).alias("lines"))
     kept = F.filter("lines", lambda x: x["kept"])
 
-    def side(kind: str):  # noqa: ANN202
-        return F.transform(F.filter("changes", lambda x: x["kind"] == kind), lambda x: x["norm"])
+    def side(kind: str, part: str):  # noqa: ANN202
+        return F.transform(F.filter("changes", lambda x: x["kind"] == kind), lambda x: x[part])
 
     return (
         grouped.withColumn("changes", kept)
         .withColumns({
-            "added": side("added"),
-            "removed": side("removed"),
+            "added": side("added", "norm"),
+            "removed": side("removed", "norm"),
+            "added_occ": side("added", "occ"),
+            "removed_occ": side("removed", "occ"),
             "context": F.transform(F.filter("lines", lambda x: x["kind"] == "context"), lambda x: x["raw"]),
             "change_order": F.transform("changes", lambda x: x["kind"]),
         })

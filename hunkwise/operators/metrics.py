@@ -154,9 +154,9 @@ def default_registry(config: Config) -> Registry:
         OverallMetric("overall.files_changed", INTEGER, lambda _: F.count("*"), "Split the change into smaller pull requests by concern.", _ALWAYS, over="files"),
         OverallMetric("overall.lines_changed", INTEGER, total("hunk.lines_changed"), "Reduce patch size by splitting unrelated changes into separate commits.", _ALWAYS),
         OverallMetric("overall.added_lines", INTEGER, total("hunk.added_lines"), "Keep additions under 400 lines per review session.", _ALWAYS),
-        OverallMetric("overall.problematic_hunk_count", INTEGER, under(config.hunk_score_threshold), "Simplify or split hunks with low reviewability scores.", _ALWAYS),
-        OverallMetric("overall.problematic_move_count", INTEGER, under(config.hunk_score_threshold), "Simplify or split moves with low reviewability scores.", _ALWAYS, over="moves"),
-        OverallMetric("overall.problematic_file_count", INTEGER, under(config.file_score_threshold, lambda: F.col("hunk_count") > 1), "Simplify or split files with low reviewability scores.", _ALWAYS, over="files"),
+        OverallMetric("overall.problematic_hunk_count", INTEGER, under(config.hunk_score_threshold), "Simplify or split the hunks that score low.", _ALWAYS),
+        OverallMetric("overall.problematic_move_count", INTEGER, under(config.hunk_score_threshold), "Simplify or split the moves that score low.", _ALWAYS, over="moves"),
+        OverallMetric("overall.problematic_file_count", INTEGER, under(config.file_score_threshold, lambda: F.col("hunk_count") > 1), "Simplify or split the files that score low.", _ALWAYS, over="files"),
         OverallMetric("overall.scatter_factor", RATIO, scatter, over="files"),
         OverallMetric(
             "overall.mean_interleaving", RATIO, mean_interleaving,

@@ -11,24 +11,27 @@ the join, and equal lines are taken out before any two lines are compared.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hunkwise.functions.similarity import greedy_match, greedy_pairs, indel_ratio
+from hunkwise.functions.similarity import LineMatcher, greedy_pairs
 
 LINE_LEAST = 0.3
 PAIR_LEAST = 0.3
 PURE = 0.9
 
 
-def numbered(lines: Column) -> Column:
+def numbered(lines: str, occ: str) -> Column:
     """Lines as struct(text, occ): the how-manieth of its text each line is."""
-    return F.transform(lines, lambda x, i: F.struct(x.alias("text"), F.size(F.filter(F.slice(lines, 1, i), lambda y: y == x)).alias("occ")))
+    return F.zip_with(lines, occ, lambda x, n: F.struct(x.alias("text"), n.alias("occ")))
 
 
 def pair_candidates(hunks: DataFrame) -> DataFrame:
     """Directions of hunk pairs that can be similar: ``diff_id, i, j, dir, gone, come``, gone and come being numbered lines."""
-    slim = hunks.select("diff_id", "hunk_idx", numbered(F.col("removed")).alias("gone"), numbered(F.col("added")).alias("come"))
+    slim = hunks.select("diff_id", "hunk_idx", numbered("removed", "removed_occ").alias("gone"), numbered("added", "added_occ").alias("come"))
     left, right = slim.alias("l"), slim.alias("r")
     possible = lambda a, b: (F.least(F.size(a), F.size(b)) > 0) & (F.least(F.size(a), F.size(b)) >= F.lit(PAIR_LEAST) * F.greatest(F.size(a), F.size(b)))
     forth, back = possible("l.gone", "r.come"), possible("r.gone", "l.come")
@@ -48,23 +51,34 @@ def exact_matches(candidates: DataFrame) -> DataFrame:
     )
 
 
-def line_matches(exact: DataFrame, ratio=indel_ratio) -> DataFrame:  # noqa: ANN001
-    """Greedy matches of the lines left: ``diff_id, i, j, dir, picked, total``."""
-    each = exact.where((F.size("gone") > 0) & (F.size("come") > 0)).select("diff_id", "i", "j", "dir", F.posexplode("gone").alias("gi", "g"), "come")
-    each = each.select("diff_id", "i", "j", "dir", "gi", "g", F.posexplode("come").alias("ci", "c"))
-    m, n = F.length("g.text"), F.length("c.text")
-    each = each.where(F.lit(2.0) * F.least(m, n) >= F.lit(LINE_LEAST) * (m + n))  # no similarity is above 2*min/(m+n)
-    scored = each.select("diff_id", "i", "j", "dir", "gi", "ci", ratio(F.col("g.text"), F.col("c.text")).alias("score")).where(F.col("score") >= LINE_LEAST)
-    found = scored.groupBy("diff_id", "i", "j", "dir").agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("gi").alias("i"), F.col("ci").alias("j"))).alias("pairs"))
-    return found.select("diff_id", "i", "j", "dir", greedy_match(F.col("pairs")).alias("m")).select("diff_id", "i", "j", "dir", "m.*")
+def line_matches(exact: DataFrame) -> DataFrame:
+    """Greedy matches of the lines left: ``diff_id, i, j, dir, matches, total``; pairs without a match are left out.
+
+    One narrow step: a pair's lines are compared where the pair is, and texts that come again are compared once.
+    """
+    texts = lambda side: F.transform(side, lambda x: x["text"]).alias(side)
+    left = exact.where((F.size("gone") > 0) & (F.size("come") > 0)).select("diff_id", "i", "j", "dir", texts("gone"), texts("come"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = LineMatcher(LINE_LEAST)
+        for b in batches:
+            found = [score.match(g.as_py(), c.as_py()) for g, c in zip(b.column(4), b.column(5), strict=True)]
+            columns = [pa.array([n for n, _ in found], pa.int32()), pa.array([t for _, t in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *columns], names=["diff_id", "i", "j", "dir", "matches", "total"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("diff_id", "i", "j", "dir"))
+    return left.mapInArrow(run, f"{schema}, matches int, total double").where("matches > 0")
 
 
-def pair_similarity(hunks: DataFrame, ratio=indel_ratio) -> DataFrame:  # noqa: ANN001
+def pair_similarity(hunks: DataFrame) -> DataFrame:
     """``diff_id, i, j, similarity`` of all hunk pairs that have any."""
     exact = exact_matches(pair_candidates(hunks))
-    near = line_matches(exact, ratio)
-    keys = ["diff_id", "i", "j", "dir"]
-    scored = exact.join(near, keys, "left").select("diff_id", "i", "j", ((F.col("exact").cast("double") + F.coalesce("total", F.lit(0.0))) / F.col("longest")).alias("s"))
+    sums = ["diff_id", "i", "j", "dir", "longest"]
+    alike = exact.select(*sums, F.col("exact").cast("double").alias("part"))
+    near = line_matches(exact).select("diff_id", "i", "j", "dir", F.lit(None).cast("int").alias("longest"), F.col("total").alias("part"))
+    both = alike.unionByName(near).groupBy("diff_id", "i", "j", "dir").agg(F.max("longest").alias("longest"), F.max(F.when(F.col("longest").isNotNull(), F.col("part"))).alias("exact"), F.max(F.when(F.col("longest").isNull(), F.col("part"))).alias("total"))
+    scored = both.select("diff_id", "i", "j", ((F.col("exact") + F.coalesce("total", F.lit(0.0))) / F.col("longest")).alias("s"))
     return scored.groupBy("diff_id", "i", "j").agg(F.max("s").alias("similarity"))
 
 

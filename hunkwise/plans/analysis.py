@@ -83,7 +83,7 @@ def analyse(lines: DataFrame, files: DataFrame, config: Config, diffs: DataFrame
 
     hm, fm, mm, om = levels.hunk_metrics(), levels.file_metrics(), levels.move_metrics(), levels.overall_metrics()
     # metrics read a hunk's lines, what follows doesn't, so lines are not stored again
-    alone = measured(typed.where(~F.col("in_move")), hm, config).drop("added", "removed", "context", "change_order")
+    alone = measured(typed.where(~F.col("in_move")), hm, config).drop("added", "removed", "added_occ", "removed_occ", "context", "change_order")
     alone = stored(alone.withColumn("score", score.hunk(names(hm))).withColumn("metrics", metric_list(hm)))
     moved = stored(measured(moves, mm, config).withColumn("score", score.move(names(mm))).withColumn("metrics", metric_list(mm)))
 

@@ -156,7 +156,7 @@ def line_similarity_builtin(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def line_greedy_match(spark: SparkSession, sf: str) -> DataFrame:
     found = V.line_matches(V.exact_matches(V.pair_candidates(_hunks(spark, sf))))
-    return found.select("diff_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("dir").cast("long").alias("dir"), F.size("picked").cast("long").alias("matches"), _millionths(F.col("total")).alias("total_ppm"))
+    return found.select("diff_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("dir").cast("long").alias("dir"), F.col("matches").cast("long").alias("matches"), _millionths(F.col("total")).alias("total_ppm"))
 
 
 @query
