@@ -95,28 +95,74 @@ def test_banded_distance(spark):
         assert min(r.d, 3) == min(edits(r.a, r.b), 3)
 
 
-@pytest.mark.parametrize("hot", [64, 3])
-def test_line_links(spark, monkeypatch, hot):
+def word_edits(a: str, b: str) -> int:
+    return edits(a.split(), b.split())
+
+
+def near_lines(a: str, b: str) -> bool:
+    """The definition of near lines."""
+    n, m = sorted((len(a.split()), len(b.split())))
+    if n >= 10 and word_edits(a, b) <= (2 if n < 64 else 3 if n < 128 else 4):
+        return True
+    return m < 12 and min(len(a), len(b)) >= 32 and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2
+
+
+def classes(nodes, links) -> set[frozenset]:
+    of = {n: n for n in nodes}
+
+    def root(x):
+        while of[x] != x:
+            of[x] = of[of[x]]
+            x = of[x]
+        return x
+
+    for a, b in links:
+        of[root(a)] = root(b)
+    groups: dict = {}
+    for n in nodes:
+        groups.setdefault(root(n), set()).add(n)
+    return {frozenset(g) for g in groups.values()}
+
+
+def edited_lines(rng: random.Random, base: list, many: int, worst: int, alphabet: list[str]) -> list[list]:
+    found = []
+    for _ in range(many):
+        b = list(base)
+        for _ in range(rng.randint(0, worst)):
+            i = rng.randrange(len(b))
+            b[i : i + 1] = rng.choice([[], [rng.choice(alphabet)], [b[i], rng.choice(alphabet)], [rng.choice(alphabet)]])
+        found.append(b)
+    return found
+
+
+@pytest.mark.parametrize("hot", [64, 4])
+def test_line_classes(spark, monkeypatch, hot):
+    """Classes of lines edited by words and by characters, of lengths around all steps, in hot and cold groups."""
     monkeypatch.setattr(linededup, "HOT", hot)
     rng, lines = random.Random(2), set()
-    for _ in range(8):
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnr"]
+    for size in (9, 10, 11, 12, 25, 63, 64, 66, 127, 129, 140):
+        base = [rng.choice(vocabulary) for _ in range(size)]
+        lines.update(" ".join(b) for b in edited_lines(rng, base, 24, 7, vocabulary))
+        moved = base[size // 2 :] + base[: size // 2]
+        lines.update({" ".join(moved), " ".join(base[1:] + base[:1]), " ".join([base[1], base[0], *base[2:]])})
+    for _ in range(6):
         base = [rng.choice("abcdef ,") for _ in range(40)]
-        for _ in range(10):
-            b = list(base)
-            for _ in range(rng.randint(0, 3)):
-                i = rng.randint(0, len(b) - 1)
-                b[i : i + 1] = rng.choice([[], [rng.choice("abc")], [b[i], "e"]])
-            lines.add("".join(b))
-    want = {frozenset(p) for p in itertools.combinations(lines, 2) if edits(*p) <= 2}
-    docs = spark.createDataFrame([(i, x) for i, x in enumerate(sorted(lines))], "doc_id long, text string")
-    names = {r.h: r.text for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
-    assert {frozenset((names[r.a], names[r.b])) for r in linededup.links(docs).collect()} == want
+        lines.update("".join(b) for b in edited_lines(rng, base, 12, 3, list("abce")))
+    lines = sorted(x for x in lines if x.strip())
+    want = classes(lines, [p for p in itertools.combinations(lines, 2) if near_lines(*p)])
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    names = {tuple(r.id): r.line for r in linededup.occurrences(docs, "doc_id", "text").collect()}
+    got = classes(lines, [(names[tuple(r.a)], names[tuple(r.b)]) for r in linededup.links(docs).collect()])
+    assert got == want and sum(len(g) > 4 for g in want) > 5
 
 
 def test_line_clean(spark, odd, empty):
     one, two = "a line that stands in two documents, whole", "a line that stands in one document, only once"
     docs = spark.createDataFrame([(1, f"{one}\nshort", 0), (2, f"{two}\n{one}", 0), (3, one, 0), (4, None, 0)], "doc_id long, text string, n_chars long")
     assert {r.doc_id: r.text for r in linededup.clean(docs).collect()} == {1: f"{one}\nshort", 2: two, 4: None}
+    short = spark.createDataFrame([(1, "- a\n\n- b"), (2, "- b\n\n- c"), (3, "- a"), (None, "- c\nx")], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in linededup.clean(short).collect()} == {(1, "- a\n\n- b"), (2, "\n- c"), (None, "x")}
     assert linededup.report(odd).count() == len(ODD) and linededup.clean(odd).columns == odd.columns
     assert linededup.report(empty).count() == 0
 
