@@ -6,8 +6,8 @@ Embeddings and softmax are trained together by stochastic gradient descent in nu
 aside from training, and the rejection threshold is the lowest score from which on the accepted of those rows are right
 in ``PRECISION`` of cases (accepted is a column of its own; the prediction is given either way).
 
-Training reads a bounded sample of labelled rows, ``PER_LANG`` of each language at most, picked by a keyed hash of the
-id. Prediction reads every whole text, in batches; as averaging and softmax input are linear, embeddings are multiplied
+Training reads a bounded sample of labelled rows, ``PER_LANG`` of each language at most, those with the smallest hashes of
+id and text (about twice as many are drawn by the hash, then ordered, so no language is sorted whole). Prediction reads every whole text, in batches; as averaging and softmax input are linear, embeddings are multiplied
 with the softmax weights beforehand, so a subword costs one short row of a table.
 
 Defined results: a null text, and one without any letter, is ``und`` with score 0 and not accepted; rows with a null
@@ -23,20 +23,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small
+
 BUCKETS = 1 << 16
 DIM = 16
 SIZES = (2, 3, 4)
 PER_LANG = 600
-MAX_LANGS = 200
 PRECISION = 0.995
 FOLDS = 4
 HELD_OUT = 2
 _EPOCHS = 6
 _BATCH = 32
 _STEPS = 900
+#: Characters after which a long text's piece is ended at the next gap.
+_PIECE = 1 << 16
 _LETTER = re.compile(r"[^\W\d_]")
+_GAP = re.compile(r"[\x00-\x40\x5b-\x60\x7b-\x7f]")
 #: ASCII letters stay, other ASCII becomes a space; bytes of longer characters stay.
 _MAP = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
@@ -70,6 +75,16 @@ def subwords(text: str) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint32)
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text's lower-cased pieces, cut where a word ends, so that their subwords are those of the whole text."""
+    low, at = text.lower(), 0
+    while at < len(low):
+        gap = _GAP.search(low, at + _PIECE)
+        end = gap.start() if gap else len(low)
+        yield low[at:end]
+        at = end
+
+
 class Model:
     """Per-bucket logits (embedding times softmax weights), bias, temperature and rejection threshold."""
 
@@ -80,8 +95,8 @@ class Model:
         if not text or not self.langs or not _LETTER.search(text):
             return "und", 0.0, False
         total, n = np.zeros(len(self.langs)), 0
-        for at in range(0, len(text), 1 << 16):  # a long text's subwords in pieces; one that crosses pieces is split
-            ids = subwords(text[at : at + (1 << 16)])
+        for piece in pieces(text):
+            ids = subwords(piece)
             total += self.table[ids].sum(axis=0, dtype=np.float64)
             n += len(ids)
         z = (total / max(n, 1) + self.bias) / self.temperature
@@ -150,14 +165,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Learns from labelled rows outside fold ``HELD_OUT``."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return fit([], [])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    rate = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, PER_LANG / r["count"]))) for r in counts], F.lit(0.0))
-    sample = known.where(draw < rate).limit(2 * PER_LANG * len(counts)).select("text", "lang", "doc_id").collect()
-    sample.sort(key=lambda r: (str(r["doc_id"]), r["lang"], r["text"]))
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    rates = known.groupBy("lang").count().select("lang", (F.lit(2.0 * PER_LANG) / F.col("count")).alias("rate"))
+    drawn = known.withColumn("draw", draw).join(broadcast_if_small(rates), "lang").where(F.col("draw") < F.col("rate")).select("doc_id", "text", "lang", "draw").distinct()
+    place = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "text"))
+    sample = drawn.withColumn("place", place).where(F.col("place") <= PER_LANG).orderBy("lang", "place").select("text", "lang").toArrow()
+    return fit(sample.column("text").to_pylist(), sample.column("lang").to_pylist())
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

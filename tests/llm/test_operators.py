@@ -63,6 +63,18 @@ def test_langid(spark, odd, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_langid_pieces_and_draws(spark, monkeypatch):
+    text = "Größe und Maß, ÉTÉ\tl'été 12 " + "word, " * 300 + "x" * 500 + " end"
+    whole = sorted(langid.subwords(text).tolist())
+    monkeypatch.setattr(langid, "_PIECE", 37)
+    assert sorted(x for p in langid.pieces(text) for x in langid.subwords(p).tolist()) == whole
+    monkeypatch.setattr(langid, "PER_LANG", 10)
+    rows = [(None, f"text number {k} here", f"l{k % 30}") for k in range(900)] + [(k, "same text", "l1") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = langid.train(df), langid.train(df.repartition(5))
+    assert len(one.langs) == 30 and (one.table == two.table).all()
+
+
 @pytest.mark.parametrize("text", [None, "", "x", "é" * 64, "a" * 64, "a\0b", "word " * 5000])
 def test_media_round_trip(text):
     stored, raw = media.encode(text), (text or "").encode()
@@ -176,14 +188,58 @@ def test_chat(spark):
     assert chat.marker("### Response")[0] == chat.marker("<|assistant|> x")[0] == "assistant" and chat.marker("no marker here: x") == ("", 0)
 
 
-def test_chat_blocks_agree(spark, monkeypatch):
-    rng = random.Random(3)
-    rows = [(1, t, "User: " * (t % 3 == 0) + "word " * rng.randint(1, 9)) for t in range(40)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
-    model = chat.fit([[("user", "User: a?"), ("assistant", "b b b b b b b b.")]] * 5)
-    whole = {r.turn: r.role for r in chat.parse(df, model).collect()}
-    monkeypatch.setattr(chat, "BLOCK", 7)
-    assert {r.turn: r.role for r in chat.parse(df, model).collect()} == whole
+def chat_model():
+    rng = random.Random(1)
+    word = lambda n: " ".join(["word"] * n)
+    made = []
+    for k in range(40):
+        mark = (("User: ", "Assistant: "), ("", ""))[k % 2]
+        made.append([(("user", "assistant")[t % 2], mark[t % 2] + (f"{word(rng.randint(1, 4))}?" if t % 2 == 0 else f"{word(12)}.\n{word(9)}.") + "\n" * (k % 2)) for t in range(4)])
+    return chat.fit(made)
+
+
+def best_path(model, lines: list[str]) -> float:
+    """The score of the best states of all lines at once."""
+    scores = model.scores(chat.features(lines))
+    now = model.start + scores[0]
+    for row in scores[1:]:
+        now = (now[:, None] + model.move).max(axis=0) + row
+    return float(now.max())
+
+
+@pytest.mark.parametrize("part", [1 << 24, 200])
+def test_chat_is_one_long_pass(spark, monkeypatch, part):
+    """However the rows are dealt, each conversation's states are best for all its lines together; odd rows included."""
+    monkeypatch.setattr(chat, "PART_BYTES", part)
+    rng, model = random.Random(3), chat_model()
+    say = lambda t: ("User: " if t % 2 == 0 else "Assistant: ") + "\n".join("word " * rng.randint(1, 9) + rng.choice("?.") for _ in range(rng.randint(1, 3)))
+    rows = [(1, t, say(t)) for t in range(60)] + [(c, t, say(t)) for c in range(2, 12) for t in range(3)]
+    rows += [(20, t, say(t)[6:] + "\n") for t in range(30)]  # without markers
+    rows += [(30, None, f"User: row {k}") for k in range(20)] + [(31, 5, f"equal turn {k}") for k in range(20)] + [(None, 1, "User: a"), (None, 2, None), (32, 0, ""), (33, 0, "long " * 40_000)]
+    df = spark.createDataFrame(rows + rows[:5], "conv_id long, turn long, text string").withColumn("at", F.lit(1))
+    keyed = df.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct()
+    found = chat.parse(df, model).select("*", F.xxhash64("text").alias("h")).collect()
+    assert len(found) == len(rows) == keyed.count()
+    found.sort(key=lambda r: (r.conv_id or -1, -1 if r.turn is None else r.turn, r.h))
+    for _, group in itertools.groupby(found, key=lambda r: r.conv_id):
+        group = list(group)
+        lines = [x for r in group for x in r.text.split("\n")]
+        roles, begins = [x for r in group for x in r.roles], [x for r in group for x in r.begins]
+        scores, totals = model.scores(chat.features(lines)), []
+        for marked in (True, False):
+            path = [chat.STATES.index((marked, role, first)) for role, first in zip(roles, begins, strict=True)]
+            totals.append(model.start[path[0]] + scores[range(len(path)), path].sum() + sum(model.move[a, b] for a, b in itertools.pairwise(path)))
+        assert max(totals) == pytest.approx(best_path(model, lines), abs=1e-6)
+    turns = {(r.conv_id, r.turn): r for r in found if r.conv_id in (1, 2)}
+    assert all(r.roles[0] == ("user", "assistant")[t % 2] and r.begins[0] and r.rendered.startswith(f"<|{r.roles[0]}|>\nword") for (_, t), r in turns.items())
+
+
+def test_chat_training_is_bounded_and_ordered(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SAMPLE_TURNS", 3)
+    rows = [(1, t, "user", f"User: {t}?") for t in range(50)] + [(2, 0, "assistant", None), (None, 0, "user", "x"), (3, 0, "nobody", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    one, two = chat.train(df), chat.train(df.repartition(7))
+    assert (one.start == two.start).all() and (one.move == two.move).all()
 
 
 def test_pii(spark, odd, empty):
