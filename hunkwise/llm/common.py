@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,14 +38,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/hunkwise/{name}-{uuid.uuid4().hex}"
+#: Paths made since the innermost ``scratch_until_done`` began, if any did.
+_MADE: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    path = f"{shared_dir(spark)}/hunkwise/{name}-{uuid.uuid4().hex}"
+    if _MADE and not keep:
+        _MADE[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_until_done(spark: SparkSession) -> Iterator[None]:
+    """Deletes at the end what was written meanwhile, other than to be kept. Nothing lazy that reads it may be left."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name, keep)
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.scratch = path
@@ -53,9 +78,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def free(*tables: DataFrame) -> None:
     """Deletes tables made by ``written`` that nothing will read again."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, t.scratch)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

@@ -88,7 +88,7 @@ def class_feistel(s: Column, key: str, kind: str, hexed: bool = False) -> Column
     def step(x: Column, r: Column) -> Column:
         odd = r % 2 == 1
         digest = F.sha2(F.concat(F.lit(f"{key}|{kind}|"), r.cast("string"), F.lit("|"), F.when(odd, x["l"]).otherwise(x["r"])), 512)
-        part = _shifted(F.when(odd, x["r"]).otherwise(x["l"]), digest, hexed)
+        part = _let(digest, lambda d: _shifted(F.when(odd, x["r"]).otherwise(x["l"]), d, hexed))  # one digest for all characters
         return F.struct(F.when(odd, x["l"]).otherwise(part).alias("l"), F.when(odd, part).otherwise(x["r"]).alias("r")).cast(kinds)
 
     half = F.floor(F.length(s) / 2).cast("int")
