@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hunkwise.llm import decontam, linededup, mixing, simhash, toxicity
-from hunkwise.llm.common import table, written
+from hunkwise.llm.common import free, scratch_until_done, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again as the next stage's input."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written and read again as the next stage's input. What a stage has
+    read and written for itself is deleted when its result stands."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_until_done(spark):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        if before is not None:
+            free(before)
+        before = docs
     return docs
