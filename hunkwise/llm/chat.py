@@ -129,7 +129,7 @@ class Model:
 def fit(conversations: list[list[tuple[str, str]]]) -> Model:
     """Smoothed counts over conversations of (role, transcript text) turns."""
     n = len(STATES)
-    start, move, emit = np.full(n, 0.1), np.full((n, n), 0.05), [np.full((n, s), 0.1 if k == 0 else 1.0) for k, s in enumerate(_SIZES)]
+    start, move, emit = np.full(n, 0.1), np.full((n, n), 0.05), [np.full((n, s), 0.01 if k == 0 else 1.0) for k, s in enumerate(_SIZES)]
     move[:_HALF, _HALF:] = move[_HALF:, :_HALF] = 0
     for k, (_, role, first) in enumerate(STATES):  # without any count, all lines are one user's
         start[k] += role == "user" and first
@@ -143,7 +143,7 @@ def fit(conversations: list[list[tuple[str, str]]]) -> Model:
         for f, e in zip(features("\n".join(text for _, text in turns).split("\n")).T, emit, strict=True):
             np.add.at(e, (states, f), 1)
     for k, (marked, role, first) in enumerate(STATES):  # what a marker names is known without counting
-        emit[0][k] += [0.5, *(200.0 if r == role else 0.0 for r in ROLES)] if marked and first else [200.0, *(0.0 for _ in ROLES)]
+        emit[0][k] += [0.5, *(2000.0 if r == role else 0.0 for r in ROLES)] if marked and first else [2000.0, *(0.0 for _ in ROLES)]
     with np.errstate(divide="ignore"):
         return Model(np.log(start / start.sum()), np.maximum(np.log(move / move.sum(axis=1, keepdims=True)), _LOW), [np.log(e / e.sum(axis=1, keepdims=True)) for e in emit])
 
