@@ -65,11 +65,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
+def written(df: DataFrame, name: str, keep: bool = False, small: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends here, and a lost executor loses nothing.
+
+    ``small`` says that ``df`` is much smaller than what it is made of: its rows are dealt anew, so that the number of
+    files follows from their size and not from the tasks that made them.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name, keep)
-    df.write.parquet(path)
+    (df.hint("rebalance") if small else df).write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.scratch = path
     return made
@@ -120,12 +124,12 @@ def min_labels(edges: DataFrame, name: str = "labels") -> DataFrame:
     """
     both = edges.where("a <> b").select("a", "b")
     both = written(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), name)
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), name, small=True)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        hooked = written(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), name)
+        hooked = written(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), name, small=True)
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        after = written(hooked.join(jump, "root").select("node", "old", F.least("root", "up").alias("root")), name)
+        after = written(hooked.join(jump, "root").select("node", "old", F.least("root", "up").alias("root")), name, small=True)
         free(labels, hooked)
         labels = after
         if labels.where("root <> old").isEmpty():

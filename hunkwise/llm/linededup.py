@@ -3,7 +3,7 @@
 Equal lines form a class, whatever their length, and so do near lines. Two lines are near if
 
 - both have at least ``WORDS`` words, and they are within ``tau`` edits (insertion, deletion, substitution of a word), tau
-  being 2 for the shorter line's up to 63 words, 3 up to 127 and 4 above; or
+  being 2 where the shorter line has up to 127 words, and 3 above; or
 - both have fewer than ``WORDS`` + 2 words and at least ``CHARS`` characters, and they are within 2 edits of a character.
 
 Classes are the connected components. Of a class the first occurrence in the corpus stays (by doc_id, then position) and
@@ -19,7 +19,7 @@ trimmed, then a banded bit-parallel pass follows, whose column of 2*tau+1 differ
 
 Keys are made of lines, not occurrences, so a line that a third of the documents share counts once; equal lines never
 pair. A key of more than ``HOT`` lines (slightly differing copies of one line) is not joined with itself. One of its lines,
-that whose words' parities are nearest to the usual ones, is the pivot, and every other line is compared with that. Lines within tau of the pivot are in its class, so their own
+that whose words' parities are nearest to the usual ones (then the most frequent), is the pivot, and every other line is compared with that. Lines within tau of the pivot are in its class, so their own
 pairs need not be made. For the others count what they add to the pivot (words, the k-th of a kind apart) and what they
 lack: an edit adds one word and takes away one at most, so a line that adds more than tau words shares one of any tau+1 of
 these with every line within tau of it, and likewise for lacking. Such lines are grouped with those that share the word,
@@ -47,7 +47,7 @@ WORDS = 10
 CHARS = 32
 HOT = 64
 #: Numbers of words from which tau is the next larger.
-STEPS = ((0, 2), (64, 3), (128, 4))
+STEPS = ((0, 2), (128, 3))
 CHAR_TAU = 2
 _MOST = STEPS[-1][1]
 _LAST = (1 << 63) - 1
@@ -60,7 +60,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r\n", "     "), " "), "")
+    """What stands between spaces; a run of k spaces makes k - 1 empty words."""
+    return F.split(line, " ")
 
 
 def chars(text: Column) -> Column:
@@ -184,7 +185,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def entries(lines: DataFrame) -> DataFrame:
-    """``key, id, kind, t, index``: index and probe keys of every line."""
+    """``key, id, line, kind, t, index``: index and probe keys of every line."""
     n, size = F.col("n"), F.col("size")
 
     def asked(*kinds: tuple[int, int]) -> Column:
@@ -204,7 +205,7 @@ def entries(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("at", short * F.col("i") + F.greatest(F.lit(0), F.col("i") - more) + F.col("shift") + 1).withColumn("width", short + (F.col("i") >= more).cast("int"))
     of_words = F.xxhash64(F.lit("w"), F.col("i"), F.col("of"), F.slice("ws", F.col("at"), F.col("width")))
     of_chars = F.xxhash64(F.lit("c"), F.col("i"), F.col("of"), F.substring(F.col("line"), F.col("at"), F.col("width")))
-    return rows.select(F.when(F.col("kind") == _BY_WORD, of_words).otherwise(of_chars).alias("key"), "id", "kind", "t", ((F.col("less") == 0) & (F.col("shift") == 0)).alias("index"))
+    return rows.select(F.when(F.col("kind") == _BY_WORD, of_words).otherwise(of_chars).alias("key"), "id", "line", "kind", "t", ((F.col("less") == 0) & (F.col("shift") == 0)).alias("index"))
 
 
 def _units(line: Column, kind: Column) -> Column:
@@ -246,10 +247,10 @@ def _split(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, Data
     line = texts.select("id", "line")
     sums = hot.groupBy("g").agg(F.count("*").alias("n"), *[F.expr(f"sum(shiftright(sig, {b}) & 1L) as b{b}") for b in range(60)])
     usual = sums.select("g", F.expr(" | ".join(f"if(2 * b{b} > n, shiftleft(1L, {b}), 0L)" for b in range(60))).alias("usual"))
-    off = F.struct(F.bit_count(F.col("sig").bitwiseXOR(F.col("usual"))).alias("off"), F.col("id"))
-    pivots = hot.join(broadcast_if_small(written(usual, "lines-usual")), "g").groupBy("g").agg(F.min(off).alias("x")).select("g", F.col("x.id").alias("pivot"))
+    off = F.struct(F.bit_count(F.col("sig").bitwiseXOR(F.col("usual"))).alias("off"), (-F.col("times")).alias("rare"), F.col("id"))
+    pivots = hot.join(broadcast_if_small(written(usual, "lines-usual", small=True)), "g").groupBy("g").agg(F.min(off).alias("x")).select("g", F.col("x.id").alias("pivot"))
     pivots = pivots.join(line.toDF("pivot", "pivot_line"), "pivot")
-    each = hot.join(line, "id").join(broadcast_if_small(written(pivots, "lines-pivots")), "g")
+    each = hot.join(line, "id").join(broadcast_if_small(written(pivots, "lines-pivots", small=True)), "g")
     ours, its = (tokens(_units(F.col(c), F.col("kind"))) for c in ("line", "pivot_line"))
     each = each.withColumns({"ours": ours, "its": its}).withColumns({"adds": F.array_except("ours", "its"), "lacks": F.array_except("its", "ours")}).drop("ours", "its")
     sort = F.when(F.size("adds") > F.col("t"), "adds").when(F.size("lacks") > F.col("t"), "lacks")
@@ -262,8 +263,8 @@ def _split(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, Data
     def grouped(sort: str) -> DataFrame:
         """Lines by the words that they add or lack, where a line of this sort has the word among its tau+1."""
         asks = F.col("sort") == sort
-        rows = each.select("g", "id", "kind", "t", "sig", "size", F.explode(F.transform(F.array_sort(sort), lambda x, i: F.struct(x.alias("token"), (asks & (i <= F.col("t"))).alias("index")))).alias("x"))
-        return rows.select(F.xxhash64("g", F.lit(sort), "x.token").alias("g"), "id", "kind", "t", "sig", F.col("size").alias("parent"), "x.index")
+        rows = each.select("g", "id", "kind", "t", "sig", "times", "size", F.explode(F.transform(F.array_sort(sort), lambda x, i: F.struct(x.alias("token"), (asks & (i <= F.col("t"))).alias("index")))).alias("x"))
+        return rows.select(F.xxhash64("g", F.lit(sort), "x.token").alias("g"), "id", "kind", "t", "sig", "times", F.col("size").alias("parent"), "x.index")
 
     return to_pivot, pairs, grouped("adds").unionByName(grouped("lacks"))
 
@@ -273,35 +274,41 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     lines = occurrences(docs, id_col, text_col).select("id", "line")
     found = entries(lines)
     shared = found.groupBy("key").agg(F.min("id.a").alias("lo"), F.max("id.a").alias("hi"), F.max("index").alias("index")).where("index and lo <> hi").select("key")
-    shared = written(shared, "lines-keys")
-    members = written(found.join(broadcast_if_small(shared), "key").groupBy(F.col("key").alias("g"), "id", "kind", "t").agg(F.max("index").alias("index")), "lines-members")
-    texts = lines.join(broadcast_if_small(written(members.select("id").distinct(), "lines-wanted")), "id", "left_semi").dropDuplicates(["id"])
-    texts = written(texts, "lines-texts")
-    free(shared)
-
-    signed = members.join(texts, "id").withColumn("sig", parities(_units(F.col("line"), F.col("kind")))).drop("line").withColumn("parent", F.lit(1 << 62))
+    shared = written(shared, "lines-keys", small=True)
+    raw = written(found.join(broadcast_if_small(shared), "key"), "lines-raw")
+    members = raw.groupBy(F.col("key").alias("g"), "id", "kind", "t").agg(F.max("index").alias("index"))
+    texts = raw.groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("times"))
+    by_char = F.when(F.size(words(F.col("line"))) < WORDS + 2, parities(chars(F.col("line"))))
+    texts = written(texts.select("*", parities(words(F.col("line"))).alias("word_sig"), by_char.alias("char_sig")), "lines-texts")
+
+    sig = F.when(F.col("kind") == _BY_WORD, F.col("word_sig")).otherwise(F.col("char_sig"))
+    signed = members.join(texts.drop("line"), "id").select("g", "id", "kind", "t", "index", "times", sig.alias("sig"), F.lit(1 << 62).alias("parent"))
     links: list[DataFrame] = []
     while True:
         sized = signed.groupBy("g").agg(F.count("*").alias("size"), F.max("index").alias("any")).where("any and size > 1").select("g", "size")
         now = written(signed.join(sized, "g"), "lines-groups").withColumn("hot", (F.col("size") > HOT) & (2 * F.col("size") <= F.col("parent")))
         cold = now.where("not hot")
-        links.append(written(_verified(_pairs(cold, cold, (F.col("x.id") < F.col("y.id")) & (F.col("x.index") | F.col("y.index"))), texts), "lines-links"))
+        if not links:
+            free(shared, raw)
+        links.append(written(_verified(_pairs(cold, cold, (F.col("x.id") < F.col("y.id")) & (F.col("x.index") | F.col("y.index"))), texts), "lines-links", small=True))
         hot = now.where("hot").drop("parent", "hot")
         if hot.isEmpty():
             return reduce(DataFrame.unionByName, links).distinct()
         to_pivot, pairs, signed = _split(hot, texts)
-        links += [to_pivot, written(_verified(pairs, texts), "lines-links")]
+        links += [to_pivot, written(_verified(pairs, texts), "lines-links", small=True)]
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, th, drops, linked``: each document's dropped positions, and how many of its lines have near lines."""
     slim = written(occurrences(docs, id_col, text_col).select("doc_id", "th", "pos", "id"), "lines-all")
-    labels = min_labels(written(links(docs, id_col, text_col), "lines-near"), "lines-classes")
+    labels = min_labels(written(links(docs, id_col, text_col), "lines-near", small=True), "lines-classes")
     classed = slim.join(broadcast_if_small(labels.withColumnRenamed("node", "id")), "id", "left").select("doc_id", "th", "pos", F.coalesce("root", "id").alias("class"), F.col("root").isNotNull().alias("linked"))
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.col("doc_id").isNull().alias("bare"), F.col("th"), F.col("pos"))
-    # a class of one line is no class: its line's first occurrence counts as any other's
-    firsts = written(classed.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first"), "lines-firsts")
-    marked = classed.withColumn("place", place).join(broadcast_if_small(firsts), "class")
+    # most lines stand once; only the others are ordered
+    several = written(classed.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"), "lines-several", small=True)
+    shared = written(classed.join(broadcast_if_small(several), "class", "left_semi").withColumn("place", place), "lines-shared")
+    firsts = written(shared.groupBy("class").agg(F.min("place").alias("first")), "lines-firsts")
+    marked = shared.join(broadcast_if_small(firsts), "class")
     return marked.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.when(F.col("place") != F.col("first"), F.col("pos")))).alias("drops"), F.size(F.collect_set(F.when(F.col("linked"), F.col("pos")))).alias("linked"))
 
 
@@ -318,7 +325,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return joined.select(
         *[F.col(f"`{c}`") for c in others],
         F.when(none, text).otherwise(kept).alias("_text"),
-        F.when(text.isNull(), 0).otherwise(F.size(lines)).alias("_lines"),
+        F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("_lines"),
         F.when(none, 0).otherwise(F.size(drops)).alias("_dropped"),
         F.coalesce(linked, F.lit(0)).alias("_linked"),
     )
