@@ -122,8 +122,31 @@ CTES: dict[str, str] = {
     "recommended": "SELECT *, CASE metric " + " ".join(f"WHEN {_lit(n)} THEN {_lit(m.remediation)}" for n, m in _M.items() if m.remediation) + " END AS remediation FROM advised SEMI JOIN (SELECT diff_id FROM gated WHERE NOT passed) USING (diff_id)",
 }
 
+
+
+def _quoted(x: str) -> str:
+    return f"""'"' || {x} || '"'"""
+
+
+def _metrics(**values: str) -> str:
+    return " || ',' || ".join(f"""'{{"name":"{name.replace('__', '.')}","value":' || CAST({value} AS VARCHAR) || '}}'""" for name, value in values.items())
+
+
+def _listed(entry: str, order: str) -> str:
+    return f"'[' || coalesce(string_agg({entry}, ',' ORDER BY {order}), '') || ']'"
+
+
+_WHOLE = ", ".join(_lit(n) for n, m in _M.items() if m.value_type == "integer")
+CTES |= {
+    "json_hunks": f"""SELECT diff_id, count(*) AS h, {_listed(f"""'{{"file":' || {_quoted("file_path")} || ',"score":' || CAST({_round("score", 2)} AS VARCHAR) || ',"metrics":[' || {_metrics(hunk__lines_changed="n", hunk__added_lines="a", hunk__removed_lines="r", hunk__context_lines="c", hunk__change_balance="balance", hunk__interleaving="inter")} || ']}}'""", "hunk_idx")} AS hunks FROM alone GROUP BY ALL""",
+    "json_moves": f"""SELECT diff_id, {_listed(f"""'{{"move_id":' || move_id || ',"hunk_count":2,"score":' || CAST({_round("complexity", 2)} AS VARCHAR) || ',"metrics":[' || {_metrics(move__edit_complexity="complexity")} || ']}}'""", "i")} AS moves FROM moved GROUP BY ALL""",
+    "json_files": f"""SELECT diff_id, {_listed(f"""'{{"file":' || {_quoted("path")} || ',"score":' || CAST({_round("score", 2)} AS VARCHAR) || ',"metrics":[' || {_metrics(file__lines_changed="lines_changed")} || ']}}'""", "file_idx")} AS files FROM files GROUP BY ALL""",
+    "json_rules": f"""SELECT diff_id, {_listed(_quoted("text"), "section, subject, ord")} AS violations FROM violated GROUP BY ALL""",
+    "json_advice": f"""SELECT diff_id, {_listed(f"""'{{"location":' || {_quoted("location")} || ',"metric":' || {_quoted("metric")} || ',"value":' || CASE WHEN metric IN ({_WHOLE}) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END || ',"remediation":' || {_quoted("remediation")} || '}}'""", "section, subject, ord")} AS advice FROM recommended GROUP BY ALL""",
+}
+
 _DOC_LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
-_NAME_PAIRS = f"SELECT a, b, {_ppm('ratio')} AS ratio_ppm FROM ratios WHERE substr(a, 1, 1) = substr(b, 1, 1)"
+_COMPARED = f"SELECT DISTINCT a, b, {_ppm('ratio')} AS ratio_ppm FROM gone g JOIN come c ON c.diff_id = g.diff_id AND c.x = g.x AND c.y = g.y JOIN ratios ON a = g.norm AND b = c.norm"
 
 FINAL: dict[str, str] = {
     "line_kinds": "SELECT diff_id, kind, count(*) AS n FROM change_lines GROUP BY ALL",
@@ -144,8 +167,8 @@ FINAL: dict[str, str] = {
     "file_score": f"SELECT diff_id, path, hunk_count, lines_changed, {_round('score', 4)} AS score FROM files",
     "pair_candidates": "SELECT diff_id, i, j, dir FROM ways",
     "exact_line_match": "SELECT diff_id, i, j, dir, exact, longest FROM exact",
-    "line_similarity": _NAME_PAIRS,
-    "line_similarity_builtin": _NAME_PAIRS,
+    "line_similarity": _COMPARED,
+    "line_similarity_builtin": _COMPARED,
     "line_greedy_match": f"SELECT t.diff_id, i, j, dir, matches, {_ppm('total')} AS total_ppm FROM line_totals t JOIN ways USING (diff_id, x, y)",
     "pair_similarity": f"SELECT diff_id, i, j, {_ppm('similarity')} AS similarity_ppm FROM pairs",
     "moves": f"SELECT diff_id, move_id, i, j, {_ppm('similarity')} AS similarity_ppm, move_type, length FROM moved",
@@ -164,6 +187,11 @@ FINAL: dict[str, str] = {
     "recommendations": "SELECT diff_id, CAST(section AS BIGINT) AS section, CAST(subject AS BIGINT) AS subject, CAST(ord AS BIGINT) AS ord, location, metric, value, remediation FROM recommended",
     "report_counts": """SELECT g.diff_id, score, passed, files_changed, coalesce(h, 0) AS hunks_changed, coalesce(k, 0) AS advice FROM gated g JOIN (SELECT diff_id, files_changed FROM overall) USING (diff_id)
         LEFT JOIN (SELECT diff_id, count(*) AS h FROM alone GROUP BY ALL) USING (diff_id) LEFT JOIN (SELECT diff_id, count(*) AS k FROM recommended GROUP BY ALL) USING (diff_id)""",
+    "report_json_text": f"""SELECT diff_id, '{{"score":' || CAST(g.score AS VARCHAR) || ',"passed":' || CASE WHEN passed THEN 'true' ELSE 'false' END || ',"violations":' || coalesce(r.violations, '[]') || ',"recommendations":' || coalesce(advice, '[]')
+        || ',"files_changed":' || files_changed || ',"hunks_changed":' || coalesce(h, 0) || ',"overall":['
+        || {_metrics(overall__files_changed="files_changed", overall__lines_changed="lines_changed", overall__added_lines="added_lines", overall__problematic_hunk_count="bad_hunks", overall__problematic_move_count="bad_moves", overall__problematic_file_count="bad_files", overall__scatter_factor="scatter", overall__mean_interleaving="mean_inter")}
+        || '],"files":' || files || ',"moves":' || coalesce(moves, '[]') || ',"hunks":' || coalesce(hunks, '[]') || '}}' AS json
+        FROM gated g JOIN overall o USING (diff_id) JOIN json_files USING (diff_id) LEFT JOIN json_rules r USING (diff_id) LEFT JOIN json_advice USING (diff_id) LEFT JOIN json_moves USING (diff_id) LEFT JOIN json_hunks USING (diff_id)""",
     "parse_patches": "SELECT diff_id, file_path, hunk_idx, seq, kind, raw FROM change_lines",
     "custom_metric": """SELECT f.diff_id, coalesce(m, 0) AS longest_line FROM (SELECT DISTINCT diff_id FROM files) f LEFT JOIN (
         SELECT a.diff_id, max(coalesce(w, 0)) AS m FROM alone a LEFT JOIN (SELECT diff_id, hunk_idx, max(length(norm)) AS w FROM filtered WHERE kept GROUP BY ALL) USING (diff_id, hunk_idx) GROUP BY ALL) USING (diff_id)""",

@@ -137,20 +137,20 @@ def exact_line_match(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("diff_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("dir").cast("long").alias("dir"), F.col("exact").cast("long").alias("exact"), F.col("longest").cast("long").alias("longest"))
 
 
-def _name_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    names = L.table(spark, sf, "part").select("p_name").distinct()
-    first = L.table(spark, sf, "part").select(F.col("p_name").alias("b"), F.substring("p_name", 1, 1).alias("k")).distinct()
-    return names.select(F.col("p_name").alias("a"), F.substring("p_name", 1, 1).alias("k")).join(first, "k").drop("k")
+def _compared(spark: SparkSession, sf: str) -> DataFrame:
+    """``a, b``: the different texts of removed and added lines that are left to be compared when hunks are paired."""
+    left = V.exact_matches(V.pair_candidates(_hunks(spark, sf))).select(F.explode("gone").alias("g"), "come")
+    return left.select(F.col("g.text").alias("a"), F.explode("come").alias("c")).select("a", F.col("c.text").alias("b")).distinct()
 
 
 @query
 def line_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return _name_pairs(spark, sf).select("a", "b", _millionths(indel_ratio(F.col("a"), F.col("b"))).alias("ratio_ppm"))
+    return _compared(spark, sf).select("a", "b", _millionths(indel_ratio(F.col("a"), F.col("b"))).alias("ratio_ppm"))
 
 
 @query
 def line_similarity_builtin(spark: SparkSession, sf: str) -> DataFrame:
-    return _name_pairs(spark, sf).select("a", "b", _millionths(indel_ratio_sql(F.col("a"), F.col("b"))).alias("ratio_ppm"))
+    return _compared(spark, sf).select("a", "b", _millionths(indel_ratio_sql(F.col("a"), F.col("b"))).alias("ratio_ppm"))
 
 
 @query
