@@ -161,7 +161,7 @@ def train(labelled: DataFrame) -> Model:
     """Learns from conversations outside fold ``HELD_OUT``: those of the smallest hashed ids."""
     known = labelled.where(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull() & (F.crc32(F.col("conv_id").cast("string")) % FOLDS != HELD_OUT))
     ids = known.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(SAMPLE)
-    rows = known.join(F.broadcast(ids), "conv_id").select("conv_id", "turn", "role", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rows = known.join(F.broadcast(ids), "conv_id").select("conv_id", "turn", "role", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"))
     order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.xxhash64("text"), "text", "role")
     few = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_TURNS).orderBy("conv_id", "place").toArrow().to_pylist()
     return fit([[(r["role"], r["text"]) for r in group] for _, group in groupby(few, key=lambda r: r["conv_id"])])

@@ -181,8 +181,8 @@ def blocks(page: str) -> list[Block]:
             end = page.find("-->", start + 4)
             at = len(page) if end < 0 else end + 3
             continue
-        if start > last_end:  # no tag ends from here on
-            add(page[start:])
+        if start > last_end:  # no tag ends from here on, but a comment may begin
+            add(page[start:].split("<!--", 1)[0])
             break
         if page.startswith(("<!", "<?"), start):
             at = page.find(">", start) + 1

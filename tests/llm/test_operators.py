@@ -296,7 +296,7 @@ def test_decontamination(spark, odd, empty):
 def test_html():
     page = "<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><nav><a href=/>menu</a></nav><header>top</header><div class='cookie-notice'>we use cookies and the like on this site of ours</div><article><h1>Head</h1><p>One &amp;&nbsp;two<br>three.<p>Short.</article><div id=comments><p>first comment</p></div><footer>&copy; x</footer>"
     assert htmlextract.main_text(page) == "Head\n\nOne & two three.\n\nShort."
-    assert htmlextract.main_text(None) == htmlextract.main_text("") == "" and htmlextract.main_text("a < b <!-- <p") == ""
+    assert htmlextract.main_text(None) == htmlextract.main_text("") == "" and htmlextract.main_text("a < b <!-- <p") == "a < b" == htmlextract.main_text("<div>a < b</div><!-- <p>x")
     body = "The house that was on the hill is one of those which they had seen when all of them came to the town, and it was not the last of the many that stood there in those days by the river and the road. " * 2
     plain = f"<body><div><a href=/a>a</a> <a href=/b>b</a></div><div>{body}</div><div>And so.</div><div>{body}</div></body>"
     assert htmlextract.main_text(plain) == f"{body.strip()}\n\nAnd so.\n\n{body.strip()}"
