@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -85,6 +86,18 @@ def free(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t.scratch)
 
 
+def free_when_done(made: DataFrame) -> None:
+    """A table written to be kept goes with the scratch of the block around, if there is one."""
+    if _MADE:
+        _MADE[-1].append(made.scratch)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Spark deletes shuffle files when the driver happens to collect the plans that made them; this has it done now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` is called so (in any case)."""
     taken = {c.lower() for c in df.columns}
@@ -109,10 +122,14 @@ def row_bytes(df: DataFrame) -> Column:
     return F.lit(16).cast("long") + sum((of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0))
 
 
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcasting if all its rows take at most ``most`` bytes, else ``df`` itself."""
-    total = df.select(row_bytes(df).alias("n")).agg(F.sum("n")).first()[0] or 0
-    return F.broadcast(df) if total <= most else df
+def is_small(df: DataFrame) -> bool:
+    """Whether all rows of ``df`` take at most ``BROADCAST_BYTES``."""
+    return (df.select(row_bytes(df).alias("n")).agg(F.sum("n")).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcasting if it is small, else ``df`` itself."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def min_labels(edges: DataFrame, name: str = "labels") -> DataFrame:
@@ -120,16 +137,18 @@ def min_labels(edges: DataFrame, name: str = "labels") -> DataFrame:
 
     Nodes are of any ordered type. Rounds of neighbour minima followed by pointer jumping, so long chains take a
     logarithmic number of rounds. Each round ends in a written table, and the tables before it are deleted; only whether a
-    row has changed comes to the driver.
+    row has changed comes to the driver. Labels are broadcast if they are small; the nodes, and so the size, stay.
     """
     both = edges.where("a <> b").select("a", "b")
     both = written(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), name, small=True)
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), name)
+    fits = is_small(labels)
+    held = F.broadcast if fits else lambda t: t
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        hooked = written(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), name, small=True)
+        near = both.join(held(labels.select(F.col("node").alias("b"), "root")), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        hooked = written(near.join(held(labels), "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), name, small=not fits)
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        after = written(hooked.join(jump, "root").select("node", "old", F.least("root", "up").alias("root")), name, small=True)
+        after = written(hooked.join(held(jump), "root").select("node", "old", F.least("root", "up").alias("root")), name, small=not fits)
         free(labels, hooked)
         labels = after
         if labels.where("root <> old").isEmpty():

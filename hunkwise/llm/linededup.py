@@ -13,7 +13,8 @@ The join: a line is split into tau+1 segments of even length. If two lines are w
 shorter one stands unchanged in the other, and only at few places (by the length difference and the number of edits that
 can lie left and right of it). Index keys are hashes of (segment number, length, segment), probe keys those of the runs
 at these places, for the line's own and each smaller length in reach. Only keys that two different lines have go on; a
-first pass over the lines finds these keys, a second one the lines that have them. What is left is compared by the
+first pass over the lines finds these keys, a second one the lines that have them (by a sieve of bits where the keys are
+too many to be broadcast; what falls through it is alone with its key and goes then). What is left is compared by the
 parities of its words' hashes, in the join's condition, and candidates are verified by edit distance: common ends are
 trimmed, then a banded bit-parallel pass follows, whose column of 2*tau+1 differences is held in two bit vectors.
 
@@ -41,7 +42,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, free, fresh_name, min_labels, written
+from .common import broadcast_if_small, drop_shuffles, free, free_when_done, fresh_name, is_small, min_labels, scratch_until_done, written
 
 WORDS = 10
 CHARS = 32
@@ -50,6 +51,8 @@ HOT = 64
 STEPS = ((0, 2), (128, 3))
 CHAR_TAU = 2
 _MOST = STEPS[-1][1]
+#: Words of 64 bits in a row of the sieve, and at most in the whole sieve (64 MB).
+_ROW, _SIEVE = 256, 1 << 23
 _LAST = (1 << 63) - 1
 _BY_WORD, _BY_CHAR = 0, 1
 
@@ -248,9 +251,9 @@ def _split(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, Data
     sums = hot.groupBy("g").agg(F.count("*").alias("n"), *[F.expr(f"sum(shiftright(sig, {b}) & 1L) as b{b}") for b in range(60)])
     usual = sums.select("g", F.expr(" | ".join(f"if(2 * b{b} > n, shiftleft(1L, {b}), 0L)" for b in range(60))).alias("usual"))
     off = F.struct(F.bit_count(F.col("sig").bitwiseXOR(F.col("usual"))).alias("off"), (-F.col("times")).alias("rare"), F.col("id"))
-    pivots = hot.join(broadcast_if_small(written(usual, "lines-usual", small=True)), "g").groupBy("g").agg(F.min(off).alias("x")).select("g", F.col("x.id").alias("pivot"))
+    pivots = hot.join(broadcast_if_small(written(usual, "lines-usual")), "g").groupBy("g").agg(F.min(off).alias("x")).select("g", F.col("x.id").alias("pivot"))
     pivots = pivots.join(line.toDF("pivot", "pivot_line"), "pivot")
-    each = hot.join(line, "id").join(broadcast_if_small(written(pivots, "lines-pivots", small=True)), "g")
+    each = hot.join(line, "id").join(broadcast_if_small(written(pivots, "lines-pivots")), "g")
     ours, its = (tokens(_units(F.col(c), F.col("kind"))) for c in ("line", "pivot_line"))
     each = each.withColumns({"ours": ours, "its": its}).withColumns({"adds": F.array_except("ours", "its"), "lacks": F.array_except("its", "ours")}).drop("ours", "its")
     sort = F.when(F.size("adds") > F.col("t"), "adds").when(F.size("lacks") > F.col("t"), "lacks")
@@ -269,17 +272,37 @@ def _split(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, Data
     return to_pivot, pairs, grouped("adds").unionByName(grouped("lacks"))
 
 
+def sieved(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is in the written table ``keys``, and few others: each key sets four bits of a word, and there
+    is a word for two keys at most (beyond ``_SIEVE`` words for more, so that more others pass). ``rows`` aren't shuffled."""
+    n = min(1 << max(8, (keys.count() // 2).bit_length()), _SIEVE)
+    key, one = F.col("key"), F.lit(1).cast("long")
+    word = key.bitwiseAND(F.lit(n - 1).cast("long"))
+    four = [F.call_function("shiftleft", one, F.shiftrightunsigned(key, b).bitwiseAND(F.lit(63).cast("long")).cast("int")) for b in (40, 46, 52, 58)]
+    mask = reduce(Column.bitwiseOR, four)
+    row = lambda w: F.expr(f"{w} div {_ROW}")
+    cells = keys.select(word.alias("word"), mask.alias("bits")).union(keys.sparkSession.range(n).select("id", F.lit(0).cast("long")))
+    cells = cells.withColumn("row", row("word")).repartition("row").groupBy("row", "word").agg(F.bit_or("bits").alias("bits"))
+    cells = cells.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits"))
+    asked = rows.withColumn("word", word)
+    held = F.get(F.col("bits"), (F.col("word") % _ROW).cast("int")).bitwiseAND(mask) == mask
+    return asked.join(F.broadcast(cells), (row("word") == F.col("row")) & held, "left_semi").drop("word")
+
+
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links ``a, b`` between ids of distinct lines; their components are those of the near lines."""
     lines = occurrences(docs, id_col, text_col).select("id", "line")
     found = entries(lines)
     shared = found.groupBy("key").agg(F.min("id.a").alias("lo"), F.max("id.a").alias("hi"), F.max("index").alias("index")).where("index and lo <> hi").select("key")
     shared = written(shared, "lines-keys", small=True)
-    raw = written(found.join(broadcast_if_small(shared), "key"), "lines-raw")
+    drop_shuffles(docs.sparkSession)
+    raw = written(found.join(F.broadcast(shared), "key") if is_small(shared) else sieved(found, shared), "lines-raw")
     members = raw.groupBy(F.col("key").alias("g"), "id", "kind", "t").agg(F.max("index").alias("index"))
     texts = raw.groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("times"))
     by_char = F.when(F.size(words(F.col("line"))) < WORDS + 2, parities(chars(F.col("line"))))
     texts = written(texts.select("*", parities(words(F.col("line"))).alias("word_sig"), by_char.alias("char_sig")), "lines-texts")
+    fits = is_small(texts)
+    texts = F.broadcast(texts) if fits else texts
 
     sig = F.when(F.col("kind") == _BY_WORD, F.col("word_sig")).otherwise(F.col("char_sig"))
     signed = members.join(texts.drop("line"), "id").select("g", "id", "kind", "t", "index", "times", sig.alias("sig"), F.lit(1 << 62).alias("parent"))
@@ -290,22 +313,24 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         cold = now.where("not hot")
         if not links:
             free(shared, raw)
-        links.append(written(_verified(_pairs(cold, cold, (F.col("x.id") < F.col("y.id")) & (F.col("x.index") | F.col("y.index"))), texts), "lines-links", small=True))
+            drop_shuffles(docs.sparkSession)
+        links.append(written(_verified(_pairs(cold, cold, (F.col("x.id") < F.col("y.id")) & (F.col("x.index") | F.col("y.index"))), texts), "lines-links", small=not fits))
         hot = now.where("hot").drop("parent", "hot")
         if hot.isEmpty():
             return reduce(DataFrame.unionByName, links).distinct()
         to_pivot, pairs, signed = _split(hot, texts)
-        links += [to_pivot, written(_verified(pairs, texts), "lines-links", small=True)]
+        links += [to_pivot, written(_verified(pairs, texts), "lines-links", small=not fits)]
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, th, drops, linked``: each document's dropped positions, and how many of its lines have near lines."""
     slim = written(occurrences(docs, id_col, text_col).select("doc_id", "th", "pos", "id"), "lines-all")
-    labels = min_labels(written(links(docs, id_col, text_col), "lines-near", small=True), "lines-classes")
+    labels = min_labels(written(links(docs, id_col, text_col), "lines-near"), "lines-classes")
     classed = slim.join(broadcast_if_small(labels.withColumnRenamed("node", "id")), "id", "left").select("doc_id", "th", "pos", F.coalesce("root", "id").alias("class"), F.col("root").isNotNull().alias("linked"))
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.col("doc_id").isNull().alias("bare"), F.col("th"), F.col("pos"))
     # most lines stand once; only the others are ordered
     several = written(classed.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"), "lines-several", small=True)
+    drop_shuffles(docs.sparkSession)
     shared = written(classed.join(broadcast_if_small(several), "class", "left_semi").withColumn("place", place), "lines-shared")
     firsts = written(shared.groupBy("class").agg(F.min("place").alias("first")), "lines-firsts")
     marked = shared.join(broadcast_if_small(firsts), "class")
@@ -316,7 +341,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """``docs`` with ``_text`` (the text without dropped lines), ``_lines``, ``_dropped`` and ``_linked``."""
     others = [c for c in docs.columns if c.lower() not in ("_text", "_lines", "_dropped", "_linked")]
     d, th, drops, linked = (fresh_name(docs, n) for n in ("key_id", "key_text", "drops", "linked"))
-    found = written(dropped(docs, id_col, text_col).toDF(d, th, drops, linked), "lines-drops")
+    with scratch_until_done(docs.sparkSession):
+        found = written(dropped(docs, id_col, text_col).toDF(d, th, drops, linked), "lines-drops", keep=True)
+    free_when_done(found)
+    drop_shuffles(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     joined = docs.join(broadcast_if_small(found), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(th)), "left")
     lines = F.split(text, "\n")

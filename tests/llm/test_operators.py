@@ -171,6 +171,37 @@ def test_line_classes(spark, monkeypatch, hot):
     assert got == want and sum(len(g) > 4 for g in want) > 5
 
 
+@pytest.mark.parametrize("size", [1 << 23, 256])
+def test_line_keys_too_many_to_broadcast(spark, monkeypatch, size):
+    """Lines aren't shuffled by their keys then, and classes stay whole, however many lines fall through the sieve."""
+    monkeypatch.setattr(linededup, "is_small", lambda df: False, raising=False)
+    monkeypatch.setattr(linededup, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(linededup, "_SIEVE", size, raising=False)
+    plans, written = {}, linededup.written
+
+    def noted(df, name, *args, **kwargs):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name, *args, **kwargs)
+
+    monkeypatch.setattr(linededup, "written", noted)
+    rng, bases = random.Random(4), []
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnr"]
+    for _ in range(120):
+        bases.append([rng.choice(vocabulary) for _ in range(rng.randint(12, 20))])
+    lines = sorted({" ".join(b) for base in bases for b in edited_lines(rng, base, 2, 2, vocabulary)} | {" ".join(rng.choice(vocabulary) for _ in range(15)) for _ in range(500)})
+    want = classes(lines, [p for p in itertools.combinations(lines, 2) if near_lines(*p)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+        names = {tuple(r.id): r.line for r in linededup.occurrences(docs, "doc_id", "text").collect()}
+        got = classes(lines, [(names[tuple(r.a)], names[tuple(r.b)]) for r in linededup.links(docs).collect()])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == want and sum(len(g) > 1 for g in want) > 60
+    assert "hashpartitioning(key" not in plans["lines-raw"] and "SortMergeJoin" not in plans["lines-raw"]
+
+
 def test_line_clean(spark, odd, empty):
     one, two = "a line that stands in two documents, whole", "a line that stands in one document, only once"
     docs = spark.createDataFrame([(1, f"{one}\nshort", 0), (2, f"{two}\n{one}", 0), (3, one, 0), (4, None, 0)], "doc_id long, text string, n_chars long")
