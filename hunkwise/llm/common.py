@@ -66,15 +66,20 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str, keep: bool = False, small: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False, small: bool = False, tasks: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here, and a lost executor loses nothing.
 
     ``small`` says that ``df`` is much smaller than what it is made of: its rows are dealt anew, so that the number of
-    files follows from their size and not from the tasks that made them.
+    files follows from their size and not from the tasks that made them. ``tasks`` (of ``tasks_for``) is enough for ``df``;
+    where a shuffle would be read by more, it is read and written by so many.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name, keep)
-    (df.hint("rebalance") if small else df).write.parquet(path)
+    if tasks and tasks < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(tasks)
+    elif small:
+        df = df.hint("rebalance")
+    df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.scratch = path
     return made
@@ -122,9 +127,19 @@ def row_bytes(df: DataFrame) -> Column:
     return F.lit(16).cast("long") + sum((of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0))
 
 
+def total_bytes(df: DataFrame) -> int:
+    """About the bytes that all rows take in memory."""
+    return df.select(row_bytes(df).alias("n")).agg(F.sum("n")).first()[0] or 0
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks that suffice for what is made of the rows of ``df``, four megabytes for each."""
+    return 12 + (total_bytes(df) >> 22)
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether all rows of ``df`` take at most ``BROADCAST_BYTES``."""
-    return (df.select(row_bytes(df).alias("n")).agg(F.sum("n")).first()[0] or 0) <= BROADCAST_BYTES
+    return total_bytes(df) <= BROADCAST_BYTES
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -140,15 +155,16 @@ def min_labels(edges: DataFrame, name: str = "labels") -> DataFrame:
     row has changed comes to the driver. Labels are broadcast if they are small; the nodes, and so the size, stay.
     """
     both = edges.where("a <> b").select("a", "b")
-    both = written(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), name)
+    tasks = tasks_for(both)
+    both = written(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges", tasks=tasks)
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), name, small=True, tasks=tasks)
     fits = is_small(labels)
     held = F.broadcast if fits else lambda t: t
     while True:
         near = both.join(held(labels.select(F.col("node").alias("b"), "root")), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        hooked = written(near.join(held(labels), "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), name, small=not fits)
+        hooked = written(near.join(held(labels), "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), name, small=True, tasks=tasks)
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        after = written(hooked.join(held(jump), "root").select("node", "old", F.least("root", "up").alias("root")), name, small=not fits)
+        after = written(hooked.join(held(jump), "root").select("node", "old", F.least("root", "up").alias("root")), name, small=True, tasks=tasks)
         free(labels, hooked)
         labels = after
         if labels.where("root <> old").isEmpty():

@@ -42,7 +42,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, drop_shuffles, free, free_when_done, fresh_name, is_small, min_labels, scratch_until_done, written
+from .common import broadcast_if_small, drop_shuffles, free, free_when_done, fresh_name, is_small, min_labels, scratch_until_done, tasks_for, written
 
 WORDS = 10
 CHARS = 32
@@ -245,20 +245,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return found.where(near(F.col("first_line"), F.col("second_line"), F.col("kind"))).select(F.col("first").alias("a"), F.col("second").alias("b"))
 
 
-def _split(hot: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _split(hot: DataFrame, texts: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hot groups by their pivots: links to the pivots, pairs still to be verified, and the next groups' members."""
     line = texts.select("id", "line")
     sums = hot.groupBy("g").agg(F.count("*").alias("n"), *[F.expr(f"sum(shiftright(sig, {b}) & 1L) as b{b}") for b in range(60)])
     usual = sums.select("g", F.expr(" | ".join(f"if(2 * b{b} > n, shiftleft(1L, {b}), 0L)" for b in range(60))).alias("usual"))
     off = F.struct(F.bit_count(F.col("sig").bitwiseXOR(F.col("usual"))).alias("off"), (-F.col("times")).alias("rare"), F.col("id"))
-    pivots = hot.join(broadcast_if_small(written(usual, "lines-usual")), "g").groupBy("g").agg(F.min(off).alias("x")).select("g", F.col("x.id").alias("pivot"))
+    pivots = hot.join(broadcast_if_small(written(usual, "lines-usual", tasks=tasks)), "g").groupBy("g").agg(F.min(off).alias("x")).select("g", F.col("x.id").alias("pivot"))
     pivots = pivots.join(line.toDF("pivot", "pivot_line"), "pivot")
-    each = hot.join(line, "id").join(broadcast_if_small(written(pivots, "lines-pivots")), "g")
+    each = hot.join(line, "id").join(broadcast_if_small(written(pivots, "lines-pivots", tasks=tasks)), "g")
     ours, its = (tokens(_units(F.col(c), F.col("kind"))) for c in ("line", "pivot_line"))
     each = each.withColumns({"ours": ours, "its": its}).withColumns({"adds": F.array_except("ours", "its"), "lacks": F.array_except("its", "ours")}).drop("ours", "its")
     sort = F.when(F.size("adds") > F.col("t"), "adds").when(F.size("lacks") > F.col("t"), "lacks")
     each = each.withColumn("sort", F.coalesce(sort, F.when(near(F.col("line"), F.col("pivot_line"), F.col("kind")), "near").otherwise("else")))
-    each = written(each.drop("line", "pivot_line"), "lines-compared")
+    each = written(each.drop("line", "pivot_line"), "lines-compared", tasks=tasks)
     to_pivot = each.where((F.col("sort") == "near") & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     alike = each.where(F.col("sort").isin("near", "else"))
     pairs = _pairs(each.where("sort = 'else'"), alike, (F.col("y.sort") == "near") | (F.col("x.id") < F.col("y.id")))
@@ -297,44 +297,47 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shared = written(shared, "lines-keys", small=True)
     drop_shuffles(docs.sparkSession)
     raw = written(found.join(F.broadcast(shared), "key") if is_small(shared) else sieved(found, shared), "lines-raw")
+    tasks = tasks_for(raw)
     members = raw.groupBy(F.col("key").alias("g"), "id", "kind", "t").agg(F.max("index").alias("index"))
     texts = raw.groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("times"))
     by_char = F.when(F.size(words(F.col("line"))) < WORDS + 2, parities(chars(F.col("line"))))
-    texts = written(texts.select("*", parities(words(F.col("line"))).alias("word_sig"), by_char.alias("char_sig")), "lines-texts")
-    fits = is_small(texts)
-    texts = F.broadcast(texts) if fits else texts
+    texts = written(texts.select("*", parities(words(F.col("line"))).alias("word_sig"), by_char.alias("char_sig")), "lines-texts", tasks=tasks)
+    texts = broadcast_if_small(texts)
 
     sig = F.when(F.col("kind") == _BY_WORD, F.col("word_sig")).otherwise(F.col("char_sig"))
     signed = members.join(texts.drop("line"), "id").select("g", "id", "kind", "t", "index", "times", sig.alias("sig"), F.lit(1 << 62).alias("parent"))
     links: list[DataFrame] = []
     while True:
         sized = signed.groupBy("g").agg(F.count("*").alias("size"), F.max("index").alias("any")).where("any and size > 1").select("g", "size")
-        now = written(signed.join(sized, "g"), "lines-groups").withColumn("hot", (F.col("size") > HOT) & (2 * F.col("size") <= F.col("parent")))
+        now = written(signed.join(sized, "g"), "lines-groups", tasks=tasks).withColumn("hot", (F.col("size") > HOT) & (2 * F.col("size") <= F.col("parent")))
         cold = now.where("not hot")
         if not links:
             free(shared, raw)
             drop_shuffles(docs.sparkSession)
-        links.append(written(_verified(_pairs(cold, cold, (F.col("x.id") < F.col("y.id")) & (F.col("x.index") | F.col("y.index"))), texts), "lines-links", small=not fits))
+        links.append(written(_verified(_pairs(cold, cold, (F.col("x.id") < F.col("y.id")) & (F.col("x.index") | F.col("y.index"))), texts), "lines-links", small=True, tasks=tasks))
         hot = now.where("hot").drop("parent", "hot")
         if hot.isEmpty():
             return reduce(DataFrame.unionByName, links).distinct()
-        to_pivot, pairs, signed = _split(hot, texts)
-        links += [to_pivot, written(_verified(pairs, texts), "lines-links", small=not fits)]
+        to_pivot, pairs, signed = _split(hot, texts, tasks)
+        links += [to_pivot, written(_verified(pairs, texts), "lines-links", small=True, tasks=tasks)]
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, th, drops, linked``: each document's dropped positions, and how many of its lines have near lines."""
+    """``doc_id, th, drops, linked``: each document's dropped positions, and how many of its lines have near lines; a table
+    written to be kept, so that what it was made of can go."""
     slim = written(occurrences(docs, id_col, text_col).select("doc_id", "th", "pos", "id"), "lines-all")
-    labels = min_labels(written(links(docs, id_col, text_col), "lines-near"), "lines-classes")
+    tasks = tasks_for(slim)
+    labels = min_labels(written(links(docs, id_col, text_col), "lines-near", tasks=tasks), "lines-classes")
     classed = slim.join(broadcast_if_small(labels.withColumnRenamed("node", "id")), "id", "left").select("doc_id", "th", "pos", F.coalesce("root", "id").alias("class"), F.col("root").isNotNull().alias("linked"))
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.col("doc_id").isNull().alias("bare"), F.col("th"), F.col("pos"))
     # most lines stand once; only the others are ordered
-    several = written(classed.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"), "lines-several", small=True)
+    several = written(classed.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"), "lines-several", small=True, tasks=tasks)
     drop_shuffles(docs.sparkSession)
     shared = written(classed.join(broadcast_if_small(several), "class", "left_semi").withColumn("place", place), "lines-shared")
-    firsts = written(shared.groupBy("class").agg(F.min("place").alias("first")), "lines-firsts")
+    firsts = written(shared.groupBy("class").agg(F.min("place").alias("first")), "lines-firsts", tasks=tasks)
     marked = shared.join(broadcast_if_small(firsts), "class")
-    return marked.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.when(F.col("place") != F.col("first"), F.col("pos")))).alias("drops"), F.size(F.collect_set(F.when(F.col("linked"), F.col("pos")))).alias("linked"))
+    made = marked.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.when(F.col("place") != F.col("first"), F.col("pos")))).alias("drops"), F.size(F.collect_set(F.when(F.col("linked"), F.col("pos")))).alias("linked"))
+    return written(made, "lines-drops", keep=True, tasks=tasks)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,8 +345,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     others = [c for c in docs.columns if c.lower() not in ("_text", "_lines", "_dropped", "_linked")]
     d, th, drops, linked = (fresh_name(docs, n) for n in ("key_id", "key_text", "drops", "linked"))
     with scratch_until_done(docs.sparkSession):
-        found = written(dropped(docs, id_col, text_col).toDF(d, th, drops, linked), "lines-drops", keep=True)
+        found = dropped(docs, id_col, text_col)
     free_when_done(found)
+    found = found.toDF(d, th, drops, linked)
     drop_shuffles(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     joined = docs.join(broadcast_if_small(found), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(th)), "left")

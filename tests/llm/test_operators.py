@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hunkwise.llm import chat, decontam, htmlextract, langid, linededup, media, mixing, pii, simhash, toxicity
+from hunkwise.llm import chat, common, decontam, htmlextract, langid, linededup, media, mixing, pii, simhash, toxicity
 from hunkwise.llm.registry import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -202,6 +202,20 @@ def test_line_keys_too_many_to_broadcast(spark, monkeypatch, size):
     assert "hashpartitioning(key" not in plans["lines-raw"] and "SortMergeJoin" not in plans["lines-raw"]
 
 
+def test_small_components_in_few_files(spark):
+    """Small tables aren't written by as many tasks as a shuffle has partitions."""
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(k, k + 1) for k in range(0, 3000) if k % 10 != 9], "a long, b long")
+        found = common.min_labels(edges)
+        files = len({r.f for r in found.select(F.input_file_name().alias("f")).distinct().collect()})
+        assert {(r.node, r.root) for r in found.collect()} == {(k, k // 10 * 10) for k in range(3000)} and files <= 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_line_clean(spark, odd, empty):
     one, two = "a line that stands in two documents, whole", "a line that stands in one document, only once"
     docs = spark.createDataFrame([(1, f"{one}\nshort", 0), (2, f"{two}\n{one}", 0), (3, one, 0), (4, None, 0)], "doc_id long, text string, n_chars long")
