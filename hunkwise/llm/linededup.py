@@ -238,16 +238,30 @@ def _pairs(members: DataFrame, other: DataFrame, which: Column) -> DataFrame:
     return made.select(F.least("x.id", "y.id").alias("first"), F.greatest("x.id", "y.id").alias("second"), "x.kind")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _lines_of(texts: DataFrame, ids: DataFrame, tasks: int) -> DataFrame:
+    """``id, line`` of ``texts`` where ``ids`` has the id, and few others, so that a join with them moves no other line."""
+    line = texts.select("id", "line")
+    if is_small(line):
+        return F.broadcast(line)
+    ids = ids.distinct()
+    if is_small(ids):
+        asked = line.join(F.broadcast(ids), "id", "left_semi")
+    else:
+        asked = sieved(line.withColumn("key", F.xxhash64("id")), ids.select(F.xxhash64("id").alias("key"))).drop("key")
+    return broadcast_if_small(written(asked, "lines-asked", tasks=tasks))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, tasks: int) -> DataFrame:
     """The pairs that are near, as links ``a, b``."""
-    one = lambda side: texts.select(F.col("id").alias(side), F.col("line").alias(f"{side}_line"))
-    found = pairs.distinct().join(one("first"), "first").join(one("second"), "second")
+    pairs = written(pairs.distinct(), "lines-pairs", small=True, tasks=tasks)
+    lines = _lines_of(texts, pairs.select(F.explode(F.array("first", "second")).alias("id")), tasks)
+    found = pairs.join(lines.toDF("first", "first_line"), "first").join(lines.toDF("second", "second_line"), "second")
     return found.where(near(F.col("first_line"), F.col("second_line"), F.col("kind"))).select(F.col("first").alias("a"), F.col("second").alias("b"))
 
 
 def _split(hot: DataFrame, texts: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hot groups by their pivots: links to the pivots, pairs still to be verified, and the next groups' members."""
-    line = texts.select("id", "line")
+    line = _lines_of(texts, hot.select("id"), tasks)
     sums = hot.groupBy("g").agg(F.count("*").alias("n"), *[F.expr(f"sum(shiftright(sig, {b}) & 1L) as b{b}") for b in range(60)])
     usual = sums.select("g", F.expr(" | ".join(f"if(2 * b{b} > n, shiftleft(1L, {b}), 0L)" for b in range(60))).alias("usual"))
     off = F.struct(F.bit_count(F.col("sig").bitwiseXOR(F.col("usual"))).alias("off"), (-F.col("times")).alias("rare"), F.col("id"))
@@ -302,10 +316,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = raw.groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("times"))
     by_char = F.when(F.size(words(F.col("line"))) < WORDS + 2, parities(chars(F.col("line"))))
     texts = written(texts.select("*", parities(words(F.col("line"))).alias("word_sig"), by_char.alias("char_sig")), "lines-texts", tasks=tasks)
-    texts = broadcast_if_small(texts)
-
     sig = F.when(F.col("kind") == _BY_WORD, F.col("word_sig")).otherwise(F.col("char_sig"))
-    signed = members.join(texts.drop("line"), "id").select("g", "id", "kind", "t", "index", "times", sig.alias("sig"), F.lit(1 << 62).alias("parent"))
+    signed = members.join(broadcast_if_small(texts.drop("line")), "id").select("g", "id", "kind", "t", "index", "times", sig.alias("sig"), F.lit(1 << 62).alias("parent"))
     links: list[DataFrame] = []
     while True:
         sized = signed.groupBy("g").agg(F.count("*").alias("size"), F.max("index").alias("any")).where("any and size > 1").select("g", "size")
@@ -314,12 +326,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         if not links:
             free(shared, raw)
             drop_shuffles(docs.sparkSession)
-        links.append(written(_verified(_pairs(cold, cold, (F.col("x.id") < F.col("y.id")) & (F.col("x.index") | F.col("y.index"))), texts), "lines-links", small=True, tasks=tasks))
+        links.append(written(_verified(_pairs(cold, cold, (F.col("x.id") < F.col("y.id")) & (F.col("x.index") | F.col("y.index"))), texts, tasks), "lines-links", small=True, tasks=tasks))
         hot = now.where("hot").drop("parent", "hot")
         if hot.isEmpty():
             return reduce(DataFrame.unionByName, links).distinct()
         to_pivot, pairs, signed = _split(hot, texts, tasks)
-        links += [to_pivot, written(_verified(pairs, texts), "lines-links", small=True, tasks=tasks)]
+        links += [to_pivot, written(_verified(pairs, texts, tasks), "lines-links", small=True, tasks=tasks)]
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

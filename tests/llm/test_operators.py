@@ -202,6 +202,38 @@ def test_line_keys_too_many_to_broadcast(spark, monkeypatch, size):
     assert "hashpartitioning(key" not in plans["lines-raw"] and "SortMergeJoin" not in plans["lines-raw"]
 
 
+def shuffled(spark, run) -> int:
+    """Bytes that stages begun in ``run()`` have written for shuffles."""
+    jvm, store, none = spark._jvm, spark._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages() -> dict[int, int]:
+        found = store.stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    before = max(stages(), default=-1)
+    run()
+    return sum(n for k, n in stages().items() if k > before)
+
+
+def test_lines_that_no_pair_needs_are_not_shuffled(spark, monkeypatch):
+    """Lines share a third of their words with others, so all have shared keys, but few are in a pair to be compared."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30))
+    head = [word() for _ in range(20)]
+    lines = [" ".join(head + [word() for _ in range(40)]) for _ in range(600)]
+    lines += [f"{x} {word()}" for x in lines[:3]]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 64 << 10)
+    monkeypatch.setattr(linededup, "HOT", 1000)
+    found, before = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = shuffled(spark, lambda: found.extend(linededup.links(docs).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(found) == 3 and moved < 1.5 * sum(map(len, lines))
+
+
 def test_small_components_in_few_files(spark):
     """Small tables aren't written by as many tasks as a shuffle has partitions."""
     spark.conf.set("spark.sql.shuffle.partitions", "100")
