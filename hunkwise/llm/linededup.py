@@ -53,6 +53,8 @@ CHAR_TAU = 2
 _MOST = STEPS[-1][1]
 #: Words of 64 bits in a row of the sieve, and at most in the whole sieve (64 MB).
 _ROW, _SIEVE = 256, 1 << 23
+#: Lines from which their keys are shuffled in two slices, slices at most, and lengths in a row that are in one slice.
+_SLICE, _SLICES, _BLOCK = 6_000_000, 2, 8
 _LAST = (1 << 63) - 1
 _BY_WORD, _BY_CHAR = 0, 1
 
@@ -187,8 +189,9 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.where(line.rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b")))
 
 
-def entries(lines: DataFrame) -> DataFrame:
-    """``key, id, line, kind, t, index``: index and probe keys of every line."""
+def entries(lines: DataFrame, slices: int = 1, which: int = 0) -> DataFrame:
+    """``key, id, line, kind, t, index``: index and probe keys of every line; with ``slices``, those keys that are in slice
+    ``which``. Equal keys are in one slice, since that follows from the length that they are made for."""
     n, size = F.col("n"), F.col("size")
 
     def asked(*kinds: tuple[int, int]) -> Column:
@@ -201,9 +204,15 @@ def entries(lines: DataFrame) -> DataFrame:
     for (_, t), (start, up) in zip(STEPS, STEPS[1:], strict=False):  # a line just above a step also seeks those below it
         choice = choice.when(n < start, asked((_BY_WORD, t))).when(n < start + t, asked((_BY_WORD, t), (_BY_WORD, up)))
     choice = choice.otherwise(asked((_BY_WORD, _MOST)))
+    ours = lambda of: F.expr(f"({of}) div {_BLOCK} % {slices} = {which}")
+    if slices > 1:  # lines without a key in the slice go before they are taken apart
+        spaces = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
+        lines = lines.withColumn("spaces", spaces).where((F.col("spaces") < WORDS + 1) | reduce(Column.__or__, [ours(f"spaces + 1 - {less}") for less in range(_MOST + 1)]))
     rows = lines.select("id", "line", words(F.col("line")).alias("ws"), F.length("line").alias("size")).withColumn("n", F.size("ws"))
     rows = rows.select("id", "line", "ws", "size", "n", F.explode(choice).alias("p")).select("id", "line", "ws", "p.*", (F.when(F.col("p.kind") == _BY_WORD, n).otherwise(size) - F.col("p.less")).alias("of"))
     rows = rows.where(F.when(F.col("kind") == _BY_WORD, (F.col("of") >= WORDS) & (tau(F.col("of")) == F.col("t"))).otherwise(F.col("of") >= CHARS))
+    if slices > 1:
+        rows = rows.where(ours("of"))
     short, more = F.expr("of div (t + 1)").cast("int"), F.col("t") + 1 - F.expr("of % (t + 1)")  # the longer segments come last
     rows = rows.withColumn("at", short * F.col("i") + F.greatest(F.lit(0), F.col("i") - more) + F.col("shift") + 1).withColumn("width", short + (F.col("i") >= more).cast("int"))
     of_words = F.xxhash64(F.lit("w"), F.col("i"), F.col("of"), F.slice("ws", F.col("at"), F.col("width")))
@@ -303,13 +312,25 @@ def sieved(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return asked.join(F.broadcast(cells), (row("word") == F.col("row")) & held, "left_semi").drop("word")
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links ``a, b`` between ids of distinct lines; their components are those of the near lines."""
+def shared_keys(lines: DataFrame, slices: int) -> list[DataFrame]:
+    """Tables of the keys that two different lines have, one as index key. Keys are shuffled slice by slice, and each
+    slice's shuffle files go before the next, so they don't lie on the disks all at once."""
+    made = []
+    for k in range(slices):
+        keys = entries(lines, slices, k).groupBy("key").agg(F.min("id.a").alias("lo"), F.max("id.a").alias("hi"), F.max("index").alias("index"))
+        made.append(written(keys.where("index and lo <> hi").select("key"), "lines-keys", small=True))
+        del keys
+        drop_shuffles(lines.sparkSession)
+    return made
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 0) -> DataFrame:
+    """Links ``a, b`` between ids of distinct lines; their components are those of the near lines. ``rows`` is about the
+    number of lines; where these are many, their keys are found in several passes."""
     lines = occurrences(docs, id_col, text_col).select("id", "line")
     found = entries(lines)
-    shared = found.groupBy("key").agg(F.min("id.a").alias("lo"), F.max("id.a").alias("hi"), F.max("index").alias("index")).where("index and lo <> hi").select("key")
-    shared = written(shared, "lines-keys", small=True)
-    drop_shuffles(docs.sparkSession)
+    parts = shared_keys(lines, min(_SLICES, 1 + rows // _SLICE))
+    shared = reduce(DataFrame.union, parts)
     raw = written(found.join(F.broadcast(shared), "key") if is_small(shared) else sieved(found, shared), "lines-raw")
     tasks = tasks_for(raw)
     members = raw.groupBy(F.col("key").alias("g"), "id", "kind", "t").agg(F.max("index").alias("index"))
@@ -324,7 +345,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         now = written(signed.join(sized, "g"), "lines-groups", tasks=tasks).withColumn("hot", (F.col("size") > HOT) & (2 * F.col("size") <= F.col("parent")))
         cold = now.where("not hot")
         if not links:
-            free(shared, raw)
+            free(*parts, raw)
             drop_shuffles(docs.sparkSession)
         links.append(written(_verified(_pairs(cold, cold, (F.col("x.id") < F.col("y.id")) & (F.col("x.index") | F.col("y.index"))), texts, tasks), "lines-links", small=True, tasks=tasks))
         hot = now.where("hot").drop("parent", "hot")
@@ -339,7 +360,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     written to be kept, so that what it was made of can go."""
     slim = written(occurrences(docs, id_col, text_col).select("doc_id", "th", "pos", "id"), "lines-all")
     tasks = tasks_for(slim)
-    labels = min_labels(written(links(docs, id_col, text_col), "lines-near", tasks=tasks), "lines-classes")
+    labels = min_labels(written(links(docs, id_col, text_col, slim.count()), "lines-near", tasks=tasks), "lines-classes")
     classed = slim.join(broadcast_if_small(labels.withColumnRenamed("node", "id")), "id", "left").select("doc_id", "th", "pos", F.coalesce("root", "id").alias("class"), F.col("root").isNotNull().alias("linked"))
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.col("doc_id").isNull().alias("bare"), F.col("th"), F.col("pos"))
     # most lines stand once; only the others are ordered

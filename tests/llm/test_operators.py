@@ -234,6 +234,31 @@ def test_lines_that_no_pair_needs_are_not_shuffled(spark, monkeypatch):
     assert len(found) == 3 and moved < 1.5 * sum(map(len, lines))
 
 
+def test_line_keys_in_slices(spark, monkeypatch):
+    """Many lines' keys are shuffled in two slices, of which each key is in one; classes stay the same."""
+    rng, bases = random.Random(5), []
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnr"]
+    for _ in range(80):
+        bases.append([rng.choice(vocabulary) for _ in range(rng.choice([9, 10, 12, 16, 18, 24, 32, 127, 129]))])
+    lines = sorted({" ".join(b) for base in bases for b in edited_lines(rng, base, 3, 2, vocabulary)} | {"x " * 40 + "y", "  three   empty words and more to make it ten  "})
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    want = {tuple(r) for r in linededup.report(docs).collect()}
+    made, written = [], linededup.written
+
+    def noted(df, name, *args, **kwargs):
+        made.append(name)
+        return written(df, name, *args, **kwargs)
+
+    monkeypatch.setattr(linededup, "written", noted)
+    monkeypatch.setattr(linededup, "_SLICE", 50, raising=False)
+    assert {tuple(r) for r in linededup.report(docs).collect()} == want and sum(r[2] for r in want) > 40
+    assert made.count("lines-keys") == 2
+    rows = linededup.occurrences(docs, "doc_id", "text").select("id", "line")
+    whole, halves = (sorted(map(tuple, d.select("key", "id", "index").collect())) for d in (linededup.entries(rows), linededup.entries(rows, 2, 0).union(linededup.entries(rows, 2, 1))))
+    keys = [{r.key for r in linededup.entries(rows, 2, k).collect()} for k in (0, 1)]
+    assert whole == halves and all(keys) and not keys[0] & keys[1]
+
+
 def test_small_components_in_few_files(spark):
     """Small tables aren't written by as many tasks as a shuffle has partitions."""
     spark.conf.set("spark.sql.shuffle.partitions", "100")
